@@ -1,0 +1,13 @@
+"""The registered queries of the library's operators, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of documents by language."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
