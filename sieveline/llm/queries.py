@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontam, fingerprints, packing, quality, substring_dedup, token_counts, training_order, warc
+from sieveline.llm import decontam, fingerprints, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, training_order, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document after byte-level dedup of 50-byte strings."""
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and its edited text."""
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
@@ -49,6 +54,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of each document under the 5-gram Jaccard join."""
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each piece of each document."""
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
@@ -59,5 +69,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_token_counts, op4_training_order, op6_fingerprints, op7_warc, op9_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_token_counts, op4_training_order, op5_suffix_dedup, op6_fingerprints, op7_warc, op8_ngram_join, op9_best_fit_packing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
