@@ -29,7 +29,9 @@ from sieveline.llm import rolling, shards, shared
 from sieveline.llm.substring_dedup import words
 
 SHINGLE, SIMILARITY, SHARD_BYTES = 5, 80, 4 << 20
-SETS = "doc_id long, n_shingles long, key1 long, key2 long"
+#: 64-bit words of a set's sketch: the parity of its shingles' numbers in as many bits.
+SKETCH = 8
+SETS = "doc_id long, n_shingles long, key1 long, key2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -70,6 +72,13 @@ class Shingles:
                 out.append(rolling.mix(sums[self.ends] - sums[self.ends - self.sizes]).view(np.int64))
         return out[0], out[1]
 
+    def sketches(self) -> np.ndarray:
+        """A row of ``SKETCH`` words for each set; two sets differ in as many shingles as their sketches do in bits, or more."""
+        bit = (rolling.mix(self.values, 13) % _U(64 * SKETCH)).astype(np.int64)
+        words_ = np.zeros(len(self.sizes) * SKETCH, np.uint64)
+        np.bitwise_xor.at(words_, self.owner * SKETCH + (bit >> 6), _U(1) << (bit & 63).astype(np.uint64))
+        return words_.view(np.int64).reshape(-1, SKETCH)
+
     def subset(self, mask: np.ndarray) -> "Shingles":
         """The sets of the documents in ``mask``."""
         out = object.__new__(Shingles)
@@ -154,19 +163,19 @@ def signatures(sets: Shingles, similarity: int = SIMILARITY) -> tuple[np.ndarray
 
 
 def describe(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2) of each row; sets with equal keys are the same set."""
+    """(doc_id, n_shingles, key1, key2, sketch words) of each row; sets with equal keys are the same set."""
 
     def keys(tables):
-        for t in tables:
+        for t in (part for batch in tables for part in shards.slices(batch)):
             sets = Shingles(shards.Texts(pa.Table.from_batches([t])), width)
-            key1, key2 = sets.keys()
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(sets.sizes), pa.array(key1), pa.array(key2)], ["doc_id", "n_shingles", "key1", "key2"])
+            columns = [sets.sizes, *sets.keys(), *sets.sketches().T]
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], ["doc_id", "n_shingles", "key1", "key2", *(f"s{i}" for i in range(SKETCH))])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(keys, SETS)
 
 
 def _groups(docs: DataFrame, reps: DataFrame, shard_bytes: int, width: int, similarity: int) -> DataFrame:
-    """(signature, doc_id, n): members of the signatures that two or more sets share."""
+    """(signature, doc_id): members of the signatures that two or more sets share."""
     n, bits = shards.plan_shards(docs, "text", shard_bytes)
     by_shard = shards.deal(docs, n).groupBy("shard")
     chosen = reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("body"))
@@ -202,10 +211,10 @@ def _groups(docs: DataFrame, reps: DataFrame, shard_bytes: int, width: int, simi
         cut = values >> _U(32 - bits)
         at = np.minimum(np.searchsorted(shared_, cut), max(len(shared_) - 1, 0))
         hit = shared_[at] == cut if len(shared_) else np.zeros(len(cut), bool)
-        return pa.table([pa.array(values[hit].view(np.int64)), pa.array(ids[owner[hit]]), pa.array(sets.sizes[owner[hit]])], names=["signature", "doc_id", "n"])
+        return pa.table([pa.array(values[hit].view(np.int64)), pa.array(ids[owner[hit]])], names=["signature", "doc_id"])
 
     replies = by_shard.cogroup(chosen.groupBy("shard")).applyInArrow(ask, shards.POST).groupBy("bucket").applyInArrow(shards.shared_by_shards, shards.REPLY)
-    return by_shard.cogroup(chosen.unionByName(replies).groupBy("shard")).applyInArrow(emit, "signature long, doc_id long, n long")
+    return by_shard.cogroup(chosen.unionByName(replies).groupBy("shard")).applyInArrow(emit, "signature long, doc_id long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
@@ -213,12 +222,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(tables):
-        for t in tables:
-            for at in range(0, t.num_rows, 500):
-                part = t.slice(at, 500)
-                own = Shingles(shards.Texts(pa.Table.from_batches([part])), width)
-                bodies = [own.values[e - m : e].tobytes() for m, e in zip(own.sizes, own.ends)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+        for part in (part for batch in tables for part in shards.slices(batch)):
+            own = Shingles(shards.Texts(pa.Table.from_batches([part])), width)
+            bodies = [own.values[e - m : e].tobytes() for m, e in zip(own.sizes, own.ends)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bodies = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, body binary").dropDuplicates(["doc_id"])
@@ -237,6 +244,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean")
 
 
+def _may_link(a: str, b: str, similarity: int):
+    """Sizes and sketches leave room for a link: |A| + |B| bounds the difference, the sketches' differing bits never exceed it.
+
+    Columns: n and the sketch words, each with the prefix ``a`` or ``b``.
+    """
+    total = F.col(f"{a}n") + F.col(f"{b}n")
+    differ = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    sizes = F.least(F.col(f"{a}n"), F.col(f"{b}n")) * 100 >= F.greatest(F.col(f"{a}n"), F.col(f"{b}n")) * similarity
+    return sizes & (differ * (100 + similarity) <= total * (100 - similarity))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links reach, for all nodes of ``links`` (a, b).
 
@@ -270,23 +288,28 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, sh
     classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"))
     groups = shared.written(_groups(docs, classes.select(F.col("class_id").alias("doc_id")).distinct(), shard_bytes, width, similarity), "groups")
 
+    sketches = full.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def sketched(frame: DataFrame, c: str) -> DataFrame:
+        """``frame`` with size and sketch of the document in column ``c``."""
+        return frame.join(sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"{c}n"), *(F.col(f"s{i}").alias(f"{c}s{i}") for i in range(SKETCH))), c)
+
     # every group against its smallest member
-    smallest = groups.groupBy("signature").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = groups.join(smallest, "signature").select("signature", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("least.doc_id").alias("a"), F.col("least.n").alias("an")).where("a <> b")
-    alike = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * similarity
-    first = shared.written(_verify(members.where(alike).select("a", "b").distinct(), docs, width, similarity), "first")
+    smallest = groups.groupBy("signature").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
+    members = groups.join(smallest, "signature").select("signature", F.col("doc_id").alias("b"), "a").where("a <> b")
+    first = sketched(sketched(members.select("a", "b").distinct(), "a"), "b").where(_may_link("a", "b", similarity)).select("a", "b")
+    first = shared.written(_verify(first, docs, width, similarity), "first")
     links = first.where("linked").select("a", "b")
     near = components(links)
 
     # members that the smallest one does not reach, against the others of their group
     label = lambda frame, c: frame.join(near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_near")), c, "left").withColumn(f"{c}_near", F.coalesce(f"{c}_near", c))
-    left = label(label(members, "a"), "b").where("a_near <> b_near").select("signature", F.col("b").alias("r"), F.col("bn").alias("rn"), F.col("b_near").alias("r_near"), "a")
-    left = shared.written(left, "left")
-    others = label(members.join(left.select("signature").distinct(), "signature", "left_semi").drop("a", "an"), "b")
+    apart = label(label(members, "a"), "b").where("a_near <> b_near")
+    left = shared.written(apart.select("signature", F.col("b").alias("r"), F.col("b_near").alias("r_near")), "left")
+    others = label(members.join(left.select("signature").distinct(), "signature", "left_semi").select("signature", "b"), "b")
     second = (
-        left.join(others, "signature")
-        .where("b <> r and b_near <> r_near")
-        .where(F.least("rn", "bn") * 100 >= F.greatest("rn", "bn") * similarity)
+        sketched(left, "r")
+        .join(sketched(others, "b"), (left.signature == others.signature) & (F.col("b") != F.col("r")) & (F.col("b_near") != F.col("r_near")) & _may_link("r", "b", similarity))
         .select(F.least("r", "b").alias("a"), F.greatest("r", "b").alias("b"))
         .distinct()
         .join(first.select("a", "b"), ["a", "b"], "left_anti")

@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +34,22 @@ def plan_shards(docs: DataFrame, text: str, shard_bytes: int) -> tuple[int, int]
     return n, max(0, math.ceil(math.log2(n)))
 
 
-def deal(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, doc_id, text): null texts count as empty; each row stays a row."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).select(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)), F.lit(0)).cast("long").alias("shard"), "doc_id", "text")
+def deal(docs: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(shard, doc_id, text and the columns to ``keep``): null texts count as empty; each row stays a row."""
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long")
+    return docs.select(number.alias("shard"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
+
+
+def slices(table: pa.Table | pa.RecordBatch, column: str = "text", size: int = 1 << 20):
+    """Row ranges of ``table`` whose texts have about ``size`` bytes each."""
+    lengths = pc.fill_null(pc.binary_length(table.column(column)), 0)
+    sums = np.cumsum(np.asarray(lengths.combine_chunks() if isinstance(lengths, pa.ChunkedArray) else lengths).astype(np.int64))
+    at = 0
+    while at < table.num_rows:
+        done = sums[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sums, done + size, "right")))
+        yield table.slice(at, to - at)
+        at = to
 
 
 class Texts:

@@ -25,6 +25,8 @@ from sieveline.llm import rolling, shards
 
 WINDOW, PHRASE, SHARD_BYTES = 50, 8, 4 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+#: Columns of the result that ``keep`` can't name.
+OWN = ("shard", "doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept_text")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -109,16 +111,20 @@ class _Shard:
         return [h1[order][first], h2[order][first], least], group, ids
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a window that also starts in a document with a smaller id.
 
-    One row per input row: doc_id, n_words, n_removed, kept_sha256 and kept_text
-    (kept words joined by one space).  Null and empty texts have no words.  Rows
+    One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words
+    joined by one space), kept_text (the text itself where nothing is removed, else
+    the kept words joined by one space), and the columns to ``keep`` as they are.  Null and empty texts have no words.  Rows
     with a null doc_id are kept whole and remove nothing; rows that share a
     doc_id do not affect each other.  Only doc_id and text are read.
     """
     n, bits = shards.plan_shards(docs, "text", shard_bytes)
-    dealt = shards.deal(docs, n)
+    if set(keep) & set(OWN):
+        raise ValueError(f"columns of these names can't be kept: {sorted(set(keep) & set(OWN))}")
+    dealt = shards.deal(docs, n, keep)
+    result = ", ".join([RESULT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
 
     def ask(key, table):
         s = _Shard(table, window, phrase)
@@ -142,20 +148,20 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
         ends = np.cumsum(s.counts)
         kept_text, digests, removed = [], [], []
         for i, (a, b) in enumerate(zip((ends - s.counts).tolist(), ends.tolist())):
-            own, out = s.texts.text(i).split(), dropped[a:b]
-            k = int(out.sum())
+            whole, out = s.texts.text(i), dropped[a:b]
+            own, k = whole.split(), int(out.sum())
             if k:
                 own = [own[j] for j in np.flatnonzero(~out).tolist()]
             kept = b" ".join(own)
             removed.append(k)
             digests.append(hashlib.sha256(kept).hexdigest())
-            kept_text.append(kept.decode())
+            kept_text.append((kept if k else whole).decode())
         return pa.table(
-            [table.column("doc_id"), pa.array(s.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_text, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            [table.column("doc_id"), pa.array(s.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_text, pa.string()), *map(table.column, keep)],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *keep],
         )
 
     by_shard = dealt.groupBy("shard")
     first = by_shard.applyInArrow(ask, shards.POST).groupBy("bucket").applyInArrow(shards.shared_by_shards, shards.REPLY)
     second = by_shard.cogroup(first.groupBy("shard")).applyInArrow(compare, shards.POST).groupBy("bucket").applyInArrow(shards.earliest_owner, shards.REPLY)
-    return by_shard.cogroup(first.unionByName(second).groupBy("shard")).applyInArrow(remove, RESULT)
+    return by_shard.cogroup(first.unionByName(second).groupBy("shard")).applyInArrow(remove, result)
