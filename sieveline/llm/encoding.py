@@ -1,34 +1,67 @@
 """Token ids of texts, by a public vocabulary of the ``tokenizers`` library.
 
-A vocabulary that drops white space encodes each word by itself, so words are
-encoded once and kept in a bounded memo of the Python worker.  Texts with
-characters for which that doesn't hold plainly (beyond Latin letters, control
-characters, special tokens) go to the library whole.
+A vocabulary that lower-cases, splits by a plain pattern and drops white space
+encodes each piece of a word by itself, so words and pieces are encoded once and
+kept in bounded memos of the Python worker; the library's own model encodes the
+pieces.  Texts with characters for which that doesn't hold plainly (beyond Latin
+letters, control characters, special tokens) go through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 
-#: Tabs, line ends, and characters that stand alone in NFC and in lower case.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-_KEEP = 500_000
-_LONG_WORD = 64
+import numpy as np
+
+#: Tabs, line ends, and characters that stand alone in NFC and whose lower case stays among them.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
+# Fixed value: the pattern that such a vocabulary splits by.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KEEP, _LONG_WORD = 500_000, 64
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+_PIECES = re.compile(_SPLIT.replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N")))
+# byte-level letters: printable bytes stand for themselves, the others for code points from 256 on
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = dict(zip([*_SHOWN, *(b for b in range(256) if b not in _SHOWN)], map(chr, [*_SHOWN, *range(256, 256 + 256 - len(_SHOWN))])))
 
 
 class Encoder:
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = by_word
-        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        steps = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers") or []]
+        self.by_word = first.get("pattern", {}).get("Regex") == _SPLIT and first.get("invert") is True and steps == ["NFC", "Replace", "Lowercase"]
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        out = []
+        for piece in _PIECES.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                letters = piece if piece.isascii() else "".join(_BYTES[b] for b in piece.encode())
+                ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters))
+                if len(piece) <= _LONG_WORD:
+                    if len(self.pieces) >= _KEEP:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit values, without special tokens."""
         out: list = [None] * len(texts)
@@ -39,33 +72,34 @@ class Encoder:
                 split.append((i, text.split()))
             else:
                 whole.append(i)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
+        if whole:
+            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+                out[i] = ids
         seen = set()
         for _, own in split:
             seen.update(own)
-        memo = self.memo
+        memo = self.words
         fresh = [w for w in seen if w not in memo]
-        memo.update(zip(fresh, self._whole(fresh)))
+        if len(memo) + len(fresh) > _KEEP:
+            memo = self.words = {w: memo[w] for w in seen if w in memo}
+        for w in fresh:
+            memo[w] = self._word(w)
         for i, own in split:
             out[i] = b"".join(map(memo.__getitem__, own))
-        if len(memo) > _KEEP:
-            self.memo = {w: memo[w] for w in seen if len(w) <= _LONG_WORD}
-        else:
-            for w in fresh:
-                if len(w) > _LONG_WORD:
-                    del memo[w]
+        for w in fresh:
+            if len(w) > _LONG_WORD:
+                del memo[w]
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, by_word: bool = True) -> Encoder:
+def encoder(path: str) -> Encoder:
     """This process's encoder for the vocabulary file."""
-    if (path, by_word) not in _ENCODERS:
-        _ENCODERS[path, by_word] = Encoder(path, by_word)
-    return _ENCODERS[path, by_word]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def batches(texts: list, size: int = 2 << 20):
