@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm import shards
 from sieveline.llm.rolling import mix
 
 #: Rows of either kind that training sees at most, those with the smallest id hashes.
@@ -146,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     )
 
     def described(tables):
-        for table in tables:
+        for table in (part for t in tables for part in shards.slices(t)):
             values = features(table.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([table.column("kind"), pa.array([v.tobytes() for v in values], pa.binary())], ["kind", "values"])
 
@@ -166,7 +167,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     w, b = model
 
     def scored(tables):
-        for table in tables:
+        for table in (part for t in tables for part in shards.slices(t)):
             z = features(table.column("text").to_pylist()) @ w + b
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays(
@@ -177,6 +178,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(scored, RESULT)
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more."""
+    w, b = model
+
+    def chosen(tables):
+        for t in (part for table in tables for part in shards.slices(table)):
+            z = features(t.column("text").to_pylist()) @ w + b
+            yield t.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold))
+
+    return docs.mapInArrow(chosen, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Score every whole text; one row per input row.
 
