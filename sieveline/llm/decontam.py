@@ -135,12 +135,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agre
         index = docs.sparkSession.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
 
         def search(tables, index=index):
-            for table in tables:
-                ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-                for at in range(0, len(texts), 256):
-                    rows = [(ids[at + d], int(index.value.ids[i]), *rest) for d, i, *rest in index.value.verified(_Words(texts[at : at + 256]), stretch, agree)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "first_word", "n_compared", "n_agreed"])
+            for table in (part for t in tables for part in shards.slices(t)):
+                ids = table.column("doc_id").to_pylist()
+                rows = [(ids[d], int(index.value.ids[i]), *rest) for d, i, *rest in index.value.verified(_Words(table.column("text").to_pylist()), stretch, agree)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "first_word", "n_compared", "n_agreed"])
 
         found = docs.select("doc_id", "text").mapInArrow(search, RESULT)
         out = found if out is None else out.unionByName(found)
