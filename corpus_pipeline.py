@@ -1,16 +1,61 @@
-"""A training corpus in stages; each stage works on what the one before kept."""
+"""A training corpus in stages; each stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sieveline.llm import decontam, ngram_join, packing, quality, shared, substring_dedup
+from sieveline.llm.queries import vocabulary
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return quality.accepted(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; sets without words stay."""
+    others = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti")
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the windows that a document with a smaller id has; the others' texts are unchanged."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = substring_dedup.dedup(docs, keep=rest).withColumnRenamed("kept_text", "text")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    found = decontam.overlaps(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of each piece of each document."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", pack_sequences),
+]
+#: Training, hashing and packing have no form in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages, applied to documents; each stage's rows are written and read again."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
