@@ -16,7 +16,7 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of all .md and .txt files below ``path``; source is the path relative to it."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt,MD,TXT}").text(path, wholetext=True)
     name = F.regexp_replace(F.col("_metadata.file_path"), r"^\w+:/*", "/")
-    return files.select(F.ltrim(F.lit("/"), F.replace(name, F.lit(path.rstrip("/")), F.lit(""))).alias("source"), F.col("value").alias("text"))
+    return files.select(F.ltrim(F.replace(name, F.lit(path.rstrip("/")), F.lit("")), F.lit("/")).alias("source"), F.col("value").alias("text"))
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
