@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontam, fingerprints, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, training_order, warc
+from sieveline.llm import decontam, fingerprints, ngram_join, oracles, packing, quality, substring_dedup, suffix_dedup, token_counts, training_order, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_token_counts, op4_training_order, op5_suffix_dedup, op6_fingerprints, op7_warc, op8_ngram_join, op9_best_fit_packing, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+#: The others train, hash with functions that SQL lacks, or need the vocabulary.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op7_warc": oracles.WARC,
+    "op8_ngram_join": oracles.NGRAM_JOIN,
+}

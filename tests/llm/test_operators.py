@@ -420,3 +420,18 @@ def test_rolling():
     y = np.tile(x[:40], 3)
     h = rolling.Prefix(y).every(10)
     assert (h[:30] == h[40:70]).all() and len(set(h[:30].tolist())) == 30
+
+
+def test_oracles(spark):
+    """The registered SQL gives the queries' rows."""
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        frame = queries.QUERIES[name](spark, SMALL)
+        result = db.execute(sql)
+        columns = [c[0] for c in result.description]
+        order = [columns.index(c) for c in frame.columns]
+        assert Counter(map(tuple, frame.collect())) == Counter(tuple(r[i] for i in order) for r in result.fetchall()), name
