@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 MIN_SHARE, MAX_SHARE = 0.002, 0.2
 #: log2 of the number of lexicon parts at each level; sixteen parts of each are used.
 LEVELS, PARTS = (4, 6, 8, 10, 12), 16
-BITMAP_BITS = 22
+BITMAP_BITS = 20
 BUCKET_ROWS, MAX_BUCKETS = 2_000, 4_096
 
 
@@ -37,7 +37,7 @@ def lexicon(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE, m
     """The bitmap of the terms in the band, as its 64-bit words in decimal.
 
     Document frequencies are exact and counted over all documents; the words of the
-    bitmap (2**16, a fixed number) are all that reaches the driver.
+    bitmap (2**14, a fixed number) are all that reaches the driver.
     """
     n = docs.count()
     frequency = docs.select(F.explode(term_hashes(F.col(text))).alias("h")).groupBy("h").count()
