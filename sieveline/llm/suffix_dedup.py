@@ -76,7 +76,8 @@ class _Shard:
         pieces = -(-(stops - starts) // LONGEST)
         self.starts = np.repeat(starts, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONGEST
         self.stops = np.minimum(self.starts + LONGEST, np.repeat(stops, pieces))
-        self.values = self.minima[self.starts]
+        # minima are small numbers; mixed, they spread over the buckets
+        self.values = rolling.mix(self.minima[self.starts], 9)
         self.ids = texts.ids[np.searchsorted(ends, self.starts, "right")]
 
     def anchors(self, bits: int):
@@ -149,7 +150,7 @@ def trim(values: np.ndarray, text: np.ndarray, begins: np.ndarray, lengths: np.n
     """Range of each segment (relative) that can be shared around its gram with another segment of that gram."""
     n = len(values)
     owner = np.repeat(np.arange(n), lengths)
-    here = grams(text)
+    here = rolling.mix(grams(text), 9)
     same = np.flatnonzero(here == values[owner[: len(here)]])
     same = same[same + GRAM <= (begins + lengths)[owner[same]]]
     times = np.bincount(owner[same], minlength=n)
