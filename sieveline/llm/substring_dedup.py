@@ -69,12 +69,13 @@ class _Shard:
 
     def anchors(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         starts, _ = rolling.runs(self.minima, self.valid)
-        return shards.recurrence(bits, self.minima[starts], self.ids[starts])
+        # minima are small numbers; mixed, they spread over the buckets
+        return shards.recurrence(bits, rolling.mix(self.minima[starts], 9), self.ids[starts])
 
     def candidates(self, bits: int, recurring: np.ndarray) -> np.ndarray:
         """Starts of the windows that hold a recurring phrase, as the shard's automaton finds them."""
         grams = self.prefix.every(self.phrase)
-        cut = grams >> np.uint64(32 - bits)
+        cut = rolling.mix(grams, 9) >> np.uint64(32 - bits)
         at = np.searchsorted(recurring, cut)
         places = np.flatnonzero((at < len(recurring)) & (recurring[np.minimum(at, len(recurring) - 1)] == cut)) if len(recurring) else np.zeros(0, np.int64)
         if not len(places):
