@@ -82,7 +82,7 @@ def stable_json(entries: Column) -> Column:
 
 def short_number(n: Column) -> Column:
     """1234 as 1.2k, 2500000 as 2.5M."""
-    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, "0.0"), F.lit("M"))).when(n >= 1000, F.concat(F.format_number(n / 1000, "0.0"), F.lit("k"))).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, 1), F.lit("M"))).when(n >= 1000, F.concat(F.format_number(n / 1000, 1), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def markdown_steps() -> list[tuple[str, str]]:
@@ -116,3 +116,32 @@ def html_to_markdown(html: Column) -> Column:
     for pattern, to in markdown_steps():
         html = F.regexp_replace(html, pattern, to)
     return F.regexp_replace(html, r"^\s+|\s+$", "")
+
+
+def percent(share: Column, places: int = 1) -> Column:
+    """0.256 as 25.6%; null (infinite) as ∞."""
+    return F.coalesce(F.concat(F.format_number(share * 100, places), F.lit("%")), F.lit("∞"))
+
+
+def overwrite(base: Column, over: Column) -> Column:
+    """Two maps as one; keys of ``over`` win."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
+def first_field(json: Column, *paths: str) -> Column:
+    """The first of several JSON paths that isn't null, as a number; else 0."""
+    return F.coalesce(*(F.get_json_object(json, p).cast("double") for p in paths), F.lit(0.0))
+
+
+def json_array(text: Column, element: str = "string") -> Column:
+    """The outermost [...] of a text, parsed; an empty array if there is none or it is malformed."""
+    body = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
+    return F.coalesce(F.from_json(F.nullif(body, F.lit("")), f"array<{element}>"), F.array().cast(f"array<{element}>"))
+
+
+def rolling_hash(text: Column) -> Column:
+    """h = 31 h + code over the characters, kept in 32 bits with sign; its absolute value to base 36."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    wrapped = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(0xFFFFFFFF))
+    signed = F.when(wrapped >= 1 << 31, wrapped - (1 << 32)).otherwise(wrapped)
+    return F.lower(F.conv(F.abs(signed).cast("string"), 10, 36))

@@ -69,3 +69,15 @@ def skills(files: DataFrame) -> DataFrame:
 def append_json(rows: DataFrame, path: str) -> None:
     """Append rows to a log, a JSON object per line."""
     rows.write.mode("append").json(path)
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind) of what a folder holds: FILE, or DIR for the folders with files below them."""
+    files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select(F.regexp_replace("path", r"^\w+:/*", "/").alias("path"))
+    rest = F.ltrim(F.replace("path", F.lit(path.rstrip("/")), F.lit("")), F.lit("/"))
+    return files.select(F.split(rest, "/").alias("p")).select(F.col("p")[0].alias("name"), F.when(F.size("p") > 1, "DIR").otherwise("FILE").alias("kind")).distinct()
+
+
+def whole_file(spark: SparkSession, path: str) -> DataFrame:
+    """(text): one row with a file's whole text."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")

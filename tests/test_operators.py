@@ -187,3 +187,31 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.session(spark, str(tmp_path / "s.jsonl")).collect()] == [("t", "user", "hi")]
     notes = spark.createDataFrame([("a.md", "---\nname: n\ntype: user\nname: m\n---\n body \n"), ("b.md", "no"), ("c.md", "---\nname: n\ntype: odd\n---\nx")], "path string, text string")
     assert [(r.name, r.content) for r in readers.memories(notes).collect()] == [("m", "body")]
+
+
+def test_small_functions(spark):
+    assert one(spark, tx.percent(F.lit(0.256))) == "25.6%" and one(spark, tx.percent(F.lit(None).cast("double"))) == "∞"
+    assert one(spark, tx.overwrite(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3)))) == {"a": 1, "b": 3}
+    assert one(spark, tx.first_field(F.lit('{"b":{"c":4}}'), "$.a", "$.b.c")) == 4
+    assert one(spark, tx.json_array(F.lit('x ["a","b"] y'))) == ["a", "b"] and one(spark, tx.json_array(F.lit("none"))) == []
+    value = 0
+    for c in "hello world, 你好":
+        value = (value * 31 + ord(c)) & 0xFFFFFFFF
+    value = abs(value - 2**32 if value >= 2**31 else value)
+    assert int(one(spark, tx.rolling_hash(F.lit("hello world, 你好"))), 36) == value
+    assert one(spark, tx.short_number(F.lit(1234))) == "1.2k"
+    assert evaluation.report_name("x", True) == "mock-smoke.json"
+
+
+def test_synthetic_items(spark):
+    reply = 'Sure: [{"query":"q1","goldenAnswer":"a1","tags":["factoid"]},{"query":"","goldenAnswer":"x","tags":[]},{"query":"q3","goldenAnswer":"a3","tags":[]}]'
+    rows = evaluation.synthetic_items(spark.createDataFrame([(0, "s", reply), (1, "t", "no"), (2, "u", reply)], "seq long, source string, reply string")).collect()
+    assert [(r.id, r.source, r.query) for r in rows] == [("syn-001", "s", "q1"), ("syn-002", "u", "q1")]
+
+
+def test_listing(spark, tmp_path):
+    (tmp_path / "l" / "d").mkdir(parents=True)
+    (tmp_path / "l" / "d" / "x").write_text("1")
+    (tmp_path / "l" / "y").write_text("two\nlines")
+    assert {tuple(r) for r in readers.listing(spark, str(tmp_path / "l")).collect()} == {("d", "DIR"), ("y", "FILE")}
+    assert readers.whole_file(spark, str(tmp_path / "l" / "y")).first().text == "two\nlines"
