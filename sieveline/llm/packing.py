@@ -67,7 +67,7 @@ def _patterns(histogram: np.ndarray, capacity: int, wide: int = 12) -> np.ndarra
                 found.add(tuple(sorted((a, b, c, int(below[rest - b - c])), reverse=True)))
     rows = np.array(sorted(found, reverse=True), np.int64).reshape(-1, 4)
     full = rows.sum(1)
-    return rows[full >= 0.995 * capacity]
+    return rows[full >= 0.999 * capacity]
 
 
 def _fit(rows: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
