@@ -4,6 +4,10 @@ A record is rows (record, chunk): chunk 0 holds its headers, the next ones slice
 of its payload, so no task ever holds more of a payload than its source row and
 one slice.  Each row carries the SHA-1 of the payload so far.  The rows of an
 archive in order, decompressed and laid end to end, are a WARC/1.1 file.
+
+A stored payload's record is named by its digest: slices from any page that has
+the payload serve, each task sends them once, and pages that revisit it send none.
+So a payload that a third of all pages have is no hotter than any other.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ MIN_REVISIT = 0
 DATE = "2024-01-01T00:00:00Z"
 # The revisit profile that the WARC 1.1 standard names.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-TABLE = "record long, chunk int, body binary, sha1_so_far string"
+TABLE = "record string, chunk int, body binary, sha1_so_far string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-_FACTS = "record long, page_id long, url string, payload_bytes long, payload_digest string"
+_FACTS = "page_id long, url string, payload_bytes long, payload_digest string, payload binary"
 
 
 def _base32(digest) -> str:
@@ -46,19 +50,18 @@ def _slices(payload: memoryview, size: int):
         yield payload[a : a + size]
 
 
-def facts(pages: DataFrame) -> DataFrame:
-    """(record, page_id, url, payload_bytes, payload_digest) of each page; ``record`` numbers the rows."""
+def facts(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, payload) of each page; the payload only of fewer bytes than ``min_revisit``."""
 
     def digest(tables):
         for t in tables:
-            sizes, digests = [], []
+            rows = []
             for payload in _payloads(t.column("html")):
-                sha1 = hashlib.sha1(payload)
-                sizes.append(len(payload))
-                digests.append(_base32(sha1))
-            yield pa.RecordBatch.from_arrays([t.column("record"), t.column("page_id"), t.column("url"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["record", "page_id", "url", "payload_bytes", "payload_digest"])
+                rows.append((len(payload), _base32(hashlib.sha1(payload)), bytes(payload) if len(payload) < min_revisit else None))
+            sizes, digests, small = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([t.column("page_id"), t.column("url"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(small, pa.binary())], ["page_id", "url", "payload_bytes", "payload_digest", "payload"])
 
-    return pages.select("record", "page_id", "url", "html").mapInArrow(digest, _FACTS)
+    return pages.select("page_id", "url", "html").mapInArrow(digest, _FACTS)
 
 
 def _header(record: dict) -> bytes:
@@ -66,13 +69,13 @@ def _header(record: dict) -> bytes:
     clean = lambda s: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", s or "")
     n = record["payload_bytes"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
-    revisit = record["refers_to"] is not None
+    revisit = record["record_type"] == "revisit"
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if record['page_id'] is None else record['page_id']}>", f"WARC-Date: {DATE}"]
     if record["url"]:
         lines.append(f"WARC-Target-URI: {clean(record['url'])}")
     lines += [f"WARC-Payload-Digest: sha1:{record['payload_digest']}", "Content-Type: application/http; msgtype=response"]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{record['refers_to']}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'' if record['refers_to'] is None else record['refers_to']}>"]
     lines.append(f"Content-Length: {len(http) + (0 if revisit else n)}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
@@ -81,33 +84,44 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, slice_bytes: int =
     """The chunked record table, each partition an archive with its rows in order.
 
     Of pages with equal payloads of at least ``min_revisit`` bytes that with the
-    smallest page_id is a response and the others revisit it.  Null html is an
-    empty payload; rows that repeat the smallest page_id are all responses; a null
-    page_id is always a response and never referred to; a null url is left out.
+    smallest page_id (null: the largest; ties: the smallest url, then any one) is a
+    response and the others revisit it; smaller payloads are all responses.  Null
+    html is an empty payload; a null url is left out.
     """
-    numbered = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long"), "url", "html")
-    known = facts(numbered)
-    first = known.where(F.col("payload_bytes") >= min_revisit).where("page_id is not null").groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    stored = F.col("page_id").isNull() | F.col("first").isNull() | (F.col("page_id") == F.col("first")) | (F.col("payload_bytes") < min_revisit)
-    heads = known.join(first, "payload_digest", "left").withColumn("refers_to", F.when(~stored, F.col("first")))
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    known = facts(source, min_revisit).groupBy("page_id", "url", "payload_bytes", "payload_digest", "payload").agg(F.count("*").alias("times"))
+    rank = F.struct(F.col("page_id").isNull().alias("null"), F.col("page_id").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.col("url").isNull().alias("no_url"))
+    first = known.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min(rank).alias("first"))
+    each = known.join(first, "payload_digest", "left").select("*", rank.alias("own"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
+    revisit = F.col("first").isNotNull() & ~((F.col("own") == F.col("first")) & (F.col("nth") == 1))
+    heads = each.select(
+        F.when(revisit | F.col("first").isNull(), F.concat_ws(":", "payload_digest", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("")), F.col("nth").cast("string"))).otherwise(F.col("payload_digest")).alias("record"),
+        "page_id",
+        "url",
+        "payload_bytes",
+        "payload_digest",
+        "payload",
+        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisit, F.col("first.page_id")).alias("refers_to"),
+    )
 
     def head_rows(tables):
         for t in tables:
-            rows = t.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["record"] for r in rows], pa.int64()), pa.array([0 if r["refers_to"] is None else -1 for r in rows], pa.int32()), pa.array([_header(r) for r in rows], pa.binary()), pa.nulls(len(rows), pa.string())],
-                ["record", "chunk", "body", "sha1_so_far"],
-            )
+            rows = [(r["record"], 0, _header(r) + (r["payload"] or b""), None) for r in t.to_pylist()]
+            yield _batch(rows)
 
     def slice_rows(tables):
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze, sent = zstandard.ZstdCompressor(level=3), set()
         for t in tables:
-            for record, payload in zip(t.column("record").to_pylist(), _payloads(t.column("html"))):
-                sha1 = hashlib.sha1()
-                rows = []
+            for payload in _payloads(t.column("html")):
+                digest = _base32(hashlib.sha1(payload))
+                if len(payload) < min_revisit or digest in sent:
+                    continue
+                sent.add(digest)
+                sha1, rows = hashlib.sha1(), []
                 for k, part in enumerate(_slices(payload, slice_bytes), 1):
                     sha1.update(part)
-                    rows.append((record, k, squeeze.compress(part), _base32(sha1.copy())))
+                    rows.append((digest, k, squeeze.compress(part), _base32(sha1)))
                     if len(rows) >= 16:
                         yield _batch(rows)
                         rows = []
@@ -115,19 +129,17 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, slice_bytes: int =
                     yield _batch(rows)
 
     def archive(tables):
-        """In order of (record, chunk): a revisit's payload is left out, a record's end is added."""
-        squeeze = zstandard.ZstdCompressor(level=3)
-        skip = last = None
+        """In order of (record, chunk): slices that several tasks sent are taken once, a record's end is added."""
+        squeeze, last = zstandard.ZstdCompressor(level=3), None
         for t in tables:
             rows = []
             for record, chunk, body, sha1 in zip(*(t.column(c).to_pylist() for c in ("record", "chunk", "body", "sha1_so_far"))):
-                if record == skip and chunk > 0:
+                if last == (record, chunk):
                     continue
-                if chunk <= 0:
+                if chunk == 0:
                     if last is not None:
                         rows.append((last[0], last[1] + 1, squeeze.compress(b"\r\n\r\n"), None))
-                    skip = record if chunk < 0 else None
-                    body, chunk = squeeze.compress(body), 0
+                    body = squeeze.compress(body)
                 rows.append((record, chunk, body, sha1))
                 last = (record, chunk)
             if rows:
@@ -135,13 +147,12 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, slice_bytes: int =
         if last is not None:
             yield _batch([(last[0], last[1] + 1, squeeze.compress(b"\r\n\r\n"), None)])
 
-    parts = heads.select("record", "page_id", "url", "payload_bytes", "payload_digest", "refers_to").mapInArrow(head_rows, TABLE)
-    slices = numbered.select("record", "html").mapInArrow(slice_rows, TABLE)
-    return parts.unionByName(slices).repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(archive, TABLE)
+    slices = source.select("html").mapInArrow(slice_rows, TABLE)
+    return heads.mapInArrow(head_rows, TABLE).unionByName(slices).repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(archive, TABLE)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.string()))], ["record", "chunk", "body", "sha1_so_far"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.int32(), pa.binary(), pa.string()))], ["record", "chunk", "body", "sha1_so_far"])
 
 
 class Parser:
