@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import shared
 
-SLICE = 256 << 10
+SLICE, LEVEL = 256 << 10, 6
 #: Payloads of fewer bytes are always stored.
 MIN_REVISIT = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -111,7 +111,7 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, slice_bytes: int =
             yield _batch(rows)
 
     def slice_rows(tables):
-        squeeze, sent = zstandard.ZstdCompressor(level=3), set()
+        squeeze, sent = zstandard.ZstdCompressor(level=LEVEL), set()
         for t in tables:
             for payload in _payloads(t.column("html")):
                 digest = _base32(hashlib.sha1(payload))
@@ -130,7 +130,7 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, slice_bytes: int =
 
     def archive(tables):
         """In order of (record, chunk): slices that several tasks sent are taken once, a record's end is added."""
-        squeeze, last = zstandard.ZstdCompressor(level=3), None
+        squeeze, last = zstandard.ZstdCompressor(level=LEVEL), None
         for t in tables:
             rows = []
             for record, chunk, body, sha1 in zip(*(t.column(c).to_pylist() for c in ("record", "chunk", "body", "sha1_so_far"))):
@@ -225,7 +225,7 @@ def read(table: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Write the archives of ``pages`` as a chunked record table."""
-    records(pages, min_revisit).write.option("compression", "none").parquet(path)
+    records(pages, min_revisit).write.option("compression", "zstd").parquet(path)
 
 
 def stream(spark: SparkSession, path: str):
