@@ -22,7 +22,7 @@ from sieveline.llm import encoding, shared
 from sieveline.llm.rolling import mix
 
 SEQUENCE, PAD, KEY, ROUNDS = 512, 49407, 20240601, 4
-SLOTS_PER_SHARD = 4096
+SLOTS_PER_SHARD = 1024
 SEQUENCES = "doc_id long, sequence int, n_ids int, body binary"
 SHARDS = "shard long, first_slot long, n_slots long, stride int, ids binary, doc_ids binary, sequences binary, lengths binary"
 RESULT = "slot long, shard long, byte_offset long, doc_id long, sequence int, n_ids int, ids_crc32 long"
@@ -105,7 +105,9 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, length: int = SEQUE
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards_ = dealt.repartitionByRange(parts, "shard").groupBy("shard").applyInArrow(build, SHARDS)
-    shards_.write.option("compression", "zstd").parquet(path)
+    # rows are large: look at their size often, and keep row groups small
+    writer = shards_.write.option("compression", "zstd").option("parquet.page.size.row.check.min", 4).option("parquet.block.size", 32 << 20)
+    writer.parquet(path)
     return total
 
 
