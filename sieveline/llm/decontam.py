@@ -24,6 +24,8 @@ MASKS = ("111010011011", "110110100111", "101111001011")
 SPAN = 12
 #: Verification looks for this many words in a row (or the whole item, if it has fewer), of which this share agrees.
 STRETCH, AGREE = 24, 0.8
+#: A verbatim run of this many words (or the whole item, if it has fewer) is enough; where a document's end cuts the stretch short, at least this many words must be left.
+RUN = 12
 #: Characters of benchmark text that one pass over the documents carries.
 BLOCK_CHARS = 8 << 20
 RESULT = "doc_id long, item_id long, first_word long, n_compared long, n_agreed long"
@@ -106,11 +108,12 @@ class Index:
             target = self.words[item]
             a, b = max(diagonal, int(own.begins[doc])), min(diagonal + len(target), int(own.ends[doc]))
             same = own.hashes[a:b] == target[a - diagonal : b - diagonal]
-            need = min(stretch, len(target))
-            if len(same) < need:
+            run = min(RUN, stretch, len(target))
+            if len(same) < run:
                 continue
+            need = min(stretch, len(same))
             sums = np.concatenate(([0], np.cumsum(same)))
-            if (sums[need:] - sums[:-need]).max() >= agree * need:
+            if (sums[need:] - sums[:-need]).max() >= agree * need or (sums[run:] - sums[:-run]).max() == run:
                 row = (int(sums[-1]), -a, len(same))
                 if row > best.get((doc, item), (-1,)):
                     best[doc, item] = row
@@ -121,8 +124,11 @@ class Index:
 def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agree: float = AGREE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs of documents and benchmark items that share a passage, substitutions allowed.
 
-    One row per (document row, item): where the item begins in the document, how
-    many words could be compared and how many agree.  Null and empty texts and
+    A passage is ``stretch`` words in a row of which the share ``agree`` agrees, or
+    ``RUN`` words that all agree; at a document's end or begin, the words of the
+    stretch that the document has, ``RUN`` at least.  One row per (document row,
+    item): where the item (or what the document has of it) begins in the document,
+    how many words could be compared and how many agree.  Null and empty texts and
     items match nothing; null ids are carried as they are; repeated rows give
     repeated pairs.  A benchmark beyond ``block_chars`` is taken in blocks, each
     of them against all documents.

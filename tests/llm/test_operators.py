@@ -386,6 +386,30 @@ def test_decontamination(spark, awkward, empty):
     assert decontam.overlaps(awkward, bench).count() == decontam.overlaps(empty, bench).count() == decontam.overlaps(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_partial_and_edge_passages(spark):
+    item = passage(50, 40).split()
+    changed = item[:15]
+    changed[4] = changed[9] = "other"
+    before, after = passage(60, 30).split(), passage(61, 30).split()
+    texts = {
+        1: before + item[9:21] + after,  # a run of 12 in the middle
+        2: before + item[10:29] + after,
+        3: before + item[:20],  # cut by the end
+        4: item[17:] + after,  # cut by the begin
+        5: item[10:30],  # nothing but an excerpt
+        6: before + item[:12],
+        7: before + changed,  # 13 of 15 words
+        8: before + item[9:20] + after,  # 11 words are too few
+        9: before + item[:11],
+        10: item[29:],
+    }
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontam.overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(found) == {1, 2, 3, 4, 5, 6, 7}
+    assert (found[3].first_word, found[3].n_compared, found[3].n_agreed) == (30, 20, 20)
+    assert (found[4].first_word, found[4].n_compared, found[4].n_agreed) == (0, 23, 23)
+
+
 def test_pipeline(spark, documents, library):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     (_, by_quality), (_, near), (_, cut), (_, clean), (_, pack) = corpus_pipeline.STAGES
