@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -410,6 +411,45 @@ def test_decontamination_partial_and_edge_passages(spark):
     assert (found[4].first_word, found[4].n_compared, found[4].n_agreed) == (0, 23, 23)
 
 
+def test_seeds_find_every_substitution():
+    """Each choice of changed words within the rule leaves a seed, by length; and short items are found against brute force."""
+    for n in range(1, 25):
+        changes = n - math.ceil(0.8 * n - 1e-9)
+        places = [[t + j for j, c in enumerate(m) if c == "1"] for m in decontam.masks(n) for t in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), changes):
+            assert any(not set(gone) & set(p) for p in places), (n, gone)
+    for n in (5, 8, 11, 12, 15, 16, 20):
+        item, changes = passage(70 + n, n).split(), n - math.ceil(0.8 * n - 1e-9)
+        gone = list(itertools.combinations(range(n), changes))[:3000]
+        index = decontam.Index([(1, passage(190, 30)), (2, " ".join(item))])
+        texts = [" ".join([*passage(191, 7).split(), *(f"{w}x" if i in g else w for i, w in enumerate(item)), "end"]) for g in gone]
+        assert list(index.verified(decontam._Words(texts), 24, 0.8)) == [(k, 1, 7, n, n - changes) for k in range(len(gone))]
+
+
+def test_decontamination_equals_brute_force():
+    """Few different words, so that many diagonals agree in part."""
+    r = random.Random(5)
+    draw = lambda n: [r.choice("abcdefgh") for _ in range(n)]
+    items = [draw(n) for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 18, 24, 40)]
+    docs = [draw(r.randint(0, 60)) for _ in range(40)]
+    for k in range(40):  # excerpts with substitutions
+        item = r.choice(items)
+        a = r.randrange(len(item))
+        docs.append(draw(r.choice([0, 5])) + [w if r.random() < 0.85 else "z" for w in item[a : a + r.randint(1, 40)]] + draw(r.choice([0, 5])))
+    expected = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            for diagonal in range(-len(item) + 1, len(doc)):
+                a, b = max(diagonal, 0), min(diagonal + len(item), len(doc))
+                same = [doc[j] == item[j - diagonal] for j in range(a, b)]
+                run, need = min(12, len(item)), min(24, len(same))
+                if len(same) >= run and (any(sum(same[j : j + need]) >= 0.8 * need for j in range(len(same) - need + 1)) or any(all(same[j : j + run]) for j in range(len(same) - run + 1))):
+                    expected[d, i] = max(expected.get((d, i), (-1,)), (sum(same), -a, b - a))
+    index = decontam.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    found = list(index.verified(decontam._Words([" ".join(w) for w in docs]), 24, 0.8))
+    assert {(d, i): (n, -a, size) for d, i, a, size, n in found} == expected
+
+
 def test_pipeline(spark, documents, library):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     (_, by_quality), (_, near), (_, cut), (_, clean), (_, pack) = corpus_pipeline.STAGES
