@@ -411,8 +411,9 @@ def per_tag_average(t):
 
 @query()
 def eval_matrix(t):
-    """Two chunkers, two fusions, with and without reranking, over all documents and items."""
-    golden = _asked(t).join(evaluation.hits(_asked(t), _chunks(t)).groupBy("query_id").agg(F.min("chunk_id").cast("string").alias("source")), "query_id", "left")
+    """Five chunkers, two fusions, with and without reranking, over all documents and items."""
+    tags = t("benchmark").select(F.col("item_id").alias("query_id"), F.array(F.expr(_TAG)).alias("tags"))
+    golden = _asked(t).join(tags, "query_id").join(evaluation.hits(_asked(t), _chunks(t)).groupBy("query_id").agg(F.min("chunk_id").cast("string").alias("source")), "query_id", "left")
     return evaluation.matrix(_sourced(t), golden)
 
 

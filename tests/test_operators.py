@@ -203,6 +203,20 @@ def test_small_functions(spark):
     assert evaluation.report_name("x", True) == "mock-smoke.json"
 
 
+def test_matrix_has_all_chunkers_and_tags(spark):
+    """Every strategy of the reference's command by default, and each tag's averages in each cell."""
+    docs = spark.createDataFrame([("a", "# one\n\nred apples grow on old trees\n\n```\ncode = 1\n```"), ("b", "# two\n\nblue whales swim in cold seas"), ("c", "green frogs sit on wet stones")], "source string, text string")
+    rows = [(1, "red apples", "red apples grow on old trees", "a", ["factoid"]), (2, "blue whales", "blue whales swim in cold seas", "b", ["factoid", "multi-hop"]), (3, "brown bears", "brown bears eat sweet honey", "c", ["long-answer"])]
+    golden = spark.createDataFrame(rows, "query_id long, query string, answer string, source string, tags array<string>")
+    cells = evaluation.matrix(docs, golden).collect()
+    assert {(r.strategy, r.fusion, r.reranking) for r in cells} == {(s, f, x) for s in chunking.STRATEGIES for f in ("weighted", "rrf") for x in ("none", "blend")} and len(cells) == 20
+    for r in cells:
+        assert [(t.tag, t.n_queries, t.recall) for t in r.by_tag] == [("factoid", 2, 1.0), ("long-answer", 1, 0.0), ("multi-hop", 1, 1.0)]
+        assert (r.n_queries, round(r.recall, 6)) == (3, 0.666667)
+    (bare,) = evaluation.matrix(docs, golden.where("false").drop("tags"), ("fixed-size",), ("rrf",), (None,)).collect()
+    assert (bare.recall, bare.n_queries, bare.by_tag) == (0.0, 0, [])
+
+
 def test_synthetic_items(spark):
     reply = 'Sure: [{"query":"q1","goldenAnswer":"a1","tags":["factoid"]},{"query":"","goldenAnswer":"x","tags":[]},{"query":"q3","goldenAnswer":"a3","tags":[]}]'
     rows = evaluation.synthetic_items(spark.createDataFrame([(0, "s", reply), (1, "t", "no"), (2, "u", reply)], "seq long, source string, reply string")).collect()
