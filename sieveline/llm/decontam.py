@@ -78,8 +78,8 @@ def masks(n: int) -> tuple[str, ...]:
 class Index:
     """Seeds of some benchmark items, by the words of each that have to be compared."""
 
-    def __init__(self, items: list[tuple[int, str]], stretch: int = STRETCH):
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, str]], stretch: int = STRETCH):
+        self.ids = [i for i, _ in items]
         own = _Words([t for _, t in items])
         self.hashes, self.begins, self.counts = own.hashes, own.begins, own.counts
         self.tables = []
@@ -178,7 +178,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agre
         def search(tables, index=index):
             for table in (part for t in tables for part in shards.slices(t)):
                 ids = table.column("doc_id").to_pylist()
-                rows = [(ids[d], int(index.value.ids[i]), *rest) for d, i, *rest in index.value.verified(_Words(table.column("text").to_pylist()), stretch, agree)]
+                rows = [(ids[d], index.value.ids[i], *rest) for d, i, *rest in index.value.verified(_Words(table.column("text").to_pylist()), stretch, agree)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "first_word", "n_compared", "n_agreed"])
 

@@ -411,6 +411,12 @@ def test_decontamination_partial_and_edge_passages(spark):
     assert (found[4].first_word, found[4].n_compared, found[4].n_agreed) == (0, 23, 23)
 
 
+def test_decontamination_null_item_id(spark):
+    bench = spark.createDataFrame([(None, passage(50, 40)), (3, passage(51, 20)), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, passage(50, 40)), (2, passage(51, 20))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()} == {(1, None), (2, 3)}
+
+
 def test_seeds_find_every_substitution():
     """Each choice of changed words within the rule leaves a seed, by length; and short items are found against brute force."""
     for n in range(1, 25):
