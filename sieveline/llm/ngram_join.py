@@ -275,6 +275,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _chosen(docs: DataFrame, clashing: DataFrame, width: int) -> DataFrame:
+    """``docs`` with one row of each doc_id in ``clashing`` (doc_id, key1, key2): one whose set has these keys."""
+
+    def keyed(tables):
+        for t in (part for batch in tables for part in shards.slices(batch)):
+            keys = Shingles(shards.Texts(pa.Table.from_batches([t])), width).keys()
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("text"), *map(pa.array, keys)], ["doc_id", "text", "key1", "key2"])
+
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    some = texts.join(clashing.select("doc_id"), "doc_id", "left_semi").mapInArrow(keyed, "doc_id long, text string, key1 long, key2 long")
+    some = some.join(clashing, ["doc_id", "key1", "key2"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(clashing.select("doc_id"), "doc_id", "left_anti").unionByName(some)
+
+
 def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id that links reach).
 
@@ -285,6 +299,14 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, sh
     """
     sets = shared.written(describe(docs, width), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")
+    # ids with two sets or more: everything below sees one row of each, that of the smallest key
+    own = full.groupBy("doc_id").agg(F.min(F.struct("key1", "key2")).alias("low"), F.max(F.struct("key1", "key2")).alias("high"))
+    blank = sets.where("n_shingles = 0").select("doc_id").distinct()
+    clashing = own.join(blank.withColumn("blank", F.lit(True)), "doc_id", "left").where("low <> high or blank").select("doc_id", "low.key1", "low.key2")
+    clashing = shared.written(clashing, "clashing")
+    if clashing.limit(1).count():
+        full = full.join(clashing.select("doc_id"), "doc_id", "left_anti").unionByName(full.join(clashing, ["doc_id", "key1", "key2"], "left_semi").select(*full.columns))
+        docs = _chosen(docs, clashing, width)
     classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"))
     groups = shared.written(_groups(docs, classes.select(F.col("class_id").alias("doc_id")).distinct(), shard_bytes, width, similarity), "groups")
 

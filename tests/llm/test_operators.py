@@ -10,12 +10,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sieveline.llm import decontam, encoding, fingerprints, ngram_join, packing, quality, queries, rolling, substring_dedup, suffix_dedup, token_counts, training_order, warc
+from sieveline.llm import decontam, encoding, fingerprints, ngram_join, packing, quality, queries, rolling, shards, substring_dedup, suffix_dedup, token_counts, training_order, warc
 
 SMALL = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long, shard string, n_words string, rank string, bucket string"
@@ -174,6 +175,29 @@ def test_ngram_join_awkward(awkward):
     assert {r.component_id for r in found if r.doc_id in (43, 46, 49)} == {43, 46, 49}
 
 
+def test_ngram_join_clashing_ids(spark):
+    """Rows of one id with different texts: all steps take the text of the smallest set key, whatever the order of rows."""
+    texts = [passage(300 + k, 60) for k in range(8)]
+    near = lambda t: " ".join(["zz", *t.split()[1:]])
+    table = pa.table({"doc_id": list(range(8)), "text": texts})
+    keys = list(zip(*(k.tolist() for k in ngram_join.Shingles(shards.Texts(table)).keys())))
+    rows, expected = [], {}
+    for k in range(0, 8, 2):  # id 10 + k has two texts; each has a near copy with a smaller and one with a larger id
+        low, high = sorted((k, k + 1), key=keys.__getitem__)
+        for order in ((low, high), (high, low)):
+            d = 100 * (1 + (order[0] == low)) + 10 * k
+            rows += [(d + 5, texts[order[0]]), (d + 5, texts[order[1]]), (d + 5, None), (d + 6, near(texts[low])), (d + 7, near(texts[high]))]
+    sets = {d: shingles(t) for d, t in rows if d % 10 != 5}
+    for d, t in rows:
+        if d % 10 == 5 and t and keys[texts.index(t)] == min(keys[texts.index(x)] for e, x in rows if e == d and x):
+            sets[d] = shingles(t)
+    expected = component_ids(sets)
+    for cut in (rows, rows[::-1]):
+        found = ngram_join.join(spark.createDataFrame(cut, "doc_id long, text string").coalesce(1), shard_bytes=20_000).collect()
+        assert {(r.doc_id, r.component_id) for r in found if r.n_shingles} == set(expected.items())
+        assert Counter((r.doc_id, r.n_shingles) for r in found) == Counter((d, len(shingles(t))) for d, t in rows)
+
+
 def test_signatures_find_every_linked_pair():
     """Sets at the very bound of the similarity share a signature, for all sizes."""
     r = np.random.default_rng(1)
