@@ -19,9 +19,23 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; sets without words stay."""
+    """The document with the smallest id of each group of near duplicates; sets without words stay.
+
+    Of rows that repeat both id and text one stays; rows that share an id but not the
+    text are one document for links.  A null id links nothing: of its rows only those
+    with the text of another row go, be that an id's (if it has words) or a null one's.
+    """
     others = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    # marks are small; without repeated rows, texts are dealt no second time
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    marks = marked.groupBy("mark").agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), F.count_distinct("doc_id").alias("ids"))
+    again = shared.written(marks.where("named > ids or (n > named and n > 1)").select("mark"), "repeated")
+    if again.limit(1).count():
+        own = marked.join(again, "mark", "left_semi").drop("mark").dropDuplicates(["doc_id", "text"])
+        named = own.where("doc_id is not null").where(F.col("text").rlike("[^ \\t-\\r]")).select("text").distinct()
+        own = own.where("doc_id is not null").unionByName(own.where("doc_id is null").join(named, "text", "left_anti").select(*docs.columns))
+        docs = marked.join(again, "mark", "left_anti").drop("mark").unionByName(own)
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

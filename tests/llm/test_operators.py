@@ -506,6 +506,15 @@ def test_pipeline(spark, documents, library):
     assert sum(r.length for r in packed) == sum(len(library(r.text)) + 1 for r in final.collect())
 
 
+def test_pipeline_repeated_and_null_ids(spark):
+    a, b, c, d = (passage(400 + k, 60) for k in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, d), (3, d), (4, ""), (None, ""), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (None, b), (3, c), (3, d), (4, ""), (None, ""), (5, None)])
+
+
 def test_rolling():
     r = np.random.default_rng(2)
     x = r.integers(0, 50, 300, dtype=np.uint64)
