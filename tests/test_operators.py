@@ -217,6 +217,20 @@ def test_matrix_has_all_chunkers_and_tags(spark):
     assert (bare.recall, bare.n_queries, bare.by_tag) == (0.0, 0, [])
 
 
+def test_hybrid_search_embeds_in_full_width(spark):
+    """By default, texts are embedded in as many dimensions as hash_embed has."""
+    sizes = []
+
+    def embed(texts, dims):
+        sizes.append(dims)
+        return vectors.hash_embed(texts, dims)
+
+    chunks = spark.createDataFrame([(1, "red apples"), (2, "blue whales")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "red apples")], "query_id long, query string")
+    assert ranking.hybrid_search(chunks, asked, embed=embed).orderBy("rank").first().chunk_id == 1
+    assert sizes == [1024, 1024]
+
+
 def test_synthetic_items(spark):
     reply = 'Sure: [{"query":"q1","goldenAnswer":"a1","tags":["factoid"]},{"query":"","goldenAnswer":"x","tags":[]},{"query":"q3","goldenAnswer":"a3","tags":[]}]'
     rows = evaluation.synthetic_items(spark.createDataFrame([(0, "s", reply), (1, "t", "no"), (2, "u", reply)], "seq long, source string, reply string")).collect()
