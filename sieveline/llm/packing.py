@@ -186,11 +186,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     ranks = (
         dealt.groupBy("length", "deal")
         .agg(F.count("*").alias("n"))
-        .select("deal", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
+        # the other side of the cogroup has a column ``length`` of its own, which must not be this one
+        .select(F.col("deal").alias("rank_deal"), F.col("length").alias("rank_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
     )
 
     def place(own, firsts):
-        first = dict(zip(firsts.column("length").to_pylist(), firsts.column("first_rank").to_pylist()))
+        first = dict(zip(firsts.column("rank_length").to_pylist(), firsts.column("first_rank").to_pylist()))
         own = own.drop_columns(["deal"]).sort_by([("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         lengths = np.asarray(own.column("length").combine_chunks())
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -204,4 +205,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             offset[a:b] = at[k]
         return own.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("deal").cogroup(ranks.groupBy("deal")).applyInArrow(place, RESULT)
+    return dealt.groupBy("deal").cogroup(ranks.groupBy("rank_deal")).applyInArrow(place, RESULT)
