@@ -19,7 +19,8 @@ import numpy as np
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u017f]*")
 # Fixed value: the pattern that such a vocabulary splits by.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_KEEP, _LONG_WORD = 500_000, 64
+_KEEP, _LONG_WORD, _PART = 500_000, 64, 1 << 20
+_GAP = re.compile(r"\s")
 
 
 def _class(kind: str) -> str:
@@ -32,6 +33,25 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = dict(zip([*_SHOWN, *(b for b in range(256) if b not in _SHOWN)], map(chr, [*_SHOWN, *range(256, 256 + 256 - len(_SHOWN))])))
 
 
+class _Memo(dict):
+    """What ``make`` gives for each key; of two generations of keys the older is dropped when the younger is full."""
+
+    def __init__(self, make, most: int = _KEEP, longest: int = _LONG_WORD):
+        self.make, self.most, self.longest, self.old = make, most // 2, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,54 +62,32 @@ class Encoder:
         first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         steps = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers") or []]
         self.by_word = first.get("pattern", {}).get("Regex") == _SPLIT and first.get("invert") is True and steps == ["NFC", "Replace", "Lowercase"]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Memo(self._word), _Memo(self._piece)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else "".join(_BYTES[b] for b in piece.encode())
+        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters))
 
     def _word(self, word: str) -> bytes:
-        out = []
-        for piece in _PIECES.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                letters = piece if piece.isascii() else "".join(_BYTES[b] for b in piece.encode())
-                ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters))
-                if len(piece) <= _LONG_WORD:
-                    if len(self.pieces) >= _KEEP:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out.append(ids)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+
+    def _split(self, text: str) -> bytes:
+        """The ids of a plain text; long ones in parts that end at white space."""
+        if len(text) <= _PART:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        out, at = [], 0
+        while at < len(text):
+            gap = _GAP.search(text, at + _PART)
+            to = gap.start() if gap else len(text)
+            out.append(b"".join(map(self.words.__getitem__, text[at:to].split())))
+            at = to
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit values, without special tokens."""
-        out: list = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if self.by_word and _PLAIN.fullmatch(text) and "<|" not in text:
-                split.append((i, text.split()))
-            else:
-                whole.append(i)
-        if whole:
-            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-                out[i] = ids
-        seen = set()
-        for _, own in split:
-            seen.update(own)
-        memo = self.words
-        fresh = [w for w in seen if w not in memo]
-        if len(memo) + len(fresh) > _KEEP:
-            memo = self.words = {w: memo[w] for w in seen if w in memo}
-        for w in fresh:
-            memo[w] = self._word(w)
-        for i, own in split:
-            out[i] = b"".join(map(memo.__getitem__, own))
-        for w in fresh:
-            if len(w) > _LONG_WORD:
-                del memo[w]
-        return out
+        whole = [i for i, t in enumerate(texts) if not (self.by_word and _PLAIN.fullmatch(t) and "<|" not in t)]
+        others = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else ()))
+        return [np.array(others[i].ids, "<u4").tobytes() if i in others else self._split(t) for i, t in enumerate(texts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

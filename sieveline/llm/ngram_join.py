@@ -12,8 +12,10 @@ out; a set that has more of them than that also gets prefix-filter signatures,
 which only such sets share.  So no link is missed.
 
 Exact copies of a set are one class before any signature is made.  Members of a
-signature's group are verified against its smallest member, and only those it is
-not linked with, directly or through others, against the rest of the group.
+signature's group are verified against its smallest member, each pair once: the
+groups with one smallest member make its star.  Only those it is not linked with,
+directly or through others, are tested against the rest of the star, and of a large
+star only those with enough shingles that others there have.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from sieveline.llm.substring_dedup import words
 SHINGLE, SIMILARITY, SHARD_BYTES = 5, 80, 4 << 20
 #: 64-bit words of a set's sketch: the parity of its shingles' numbers in as many bits.
 SKETCH = 8
+#: Stars of more members are thinned by the shingles that members share.
+SMALL_STAR = 16
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -217,26 +221,30 @@ def _groups(docs: DataFrame, reps: DataFrame, shard_bytes: int, width: int, simi
     return by_shard.cogroup(chosen.unionByName(replies).groupBy("shard")).applyInArrow(emit, "signature long, doc_id long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """(a, b, linked): whether 100 * intersection >= similarity * union, on whole sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _bodies(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, body): the sorted shingles of each document in ``wanted`` (doc_id)."""
 
     def sets(tables):
         for part in (part for batch in tables for part in shards.slices(batch)):
             own = Shingles(shards.Texts(pa.Table.from_batches([part])), width)
-            bodies = [own.values[e - m : e].tobytes() for m, e in zip(own.sizes, own.ends)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bodies, pa.binary())], ["doc_id", "body"])
+            ends = np.concatenate(([0], own.ends)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(own.values.view(np.int64)))], ["doc_id", "body"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bodies = texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, body binary").dropDuplicates(["doc_id"])
+    return texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, body array<long>").dropDuplicates(["doc_id"])
+
+
+def _verify(pairs: DataFrame, bodies: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, linked): whether 100 * intersection >= similarity * union, on whole sets."""
 
     def test(tables):
         for t in tables:
             out = []
-            for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * both >= similarity * (len(x) + len(y) - both))
+            x, y = t.column("x"), t.column("y")
+            for k in range(t.num_rows):
+                one, other = x[k].values.to_numpy(), y[k].values.to_numpy()
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                out.append(100 * both >= similarity * (len(one) + len(other) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
     right = pairs.join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), "b")
@@ -244,6 +252,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, similarity: int) -> D
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean")
 
 
+def _own_shingles(bodies: DataFrame) -> DataFrame:
+    """(doc_id, own): how many shingles of a document no other one of ``bodies`` has."""
+    each = bodies.select("doc_id", F.explode("body").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
 def _may_link(a: str, b: str, similarity: int):
     """Sizes and sketches leave room for a link: |A| + |B| bounds the difference, the sketches' differing bits never exceed it.
 
@@ -316,27 +331,38 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, sh
         """``frame`` with size and sketch of the document in column ``c``."""
         return frame.join(sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"{c}n"), *(F.col(f"s{i}").alias(f"{c}s{i}") for i in range(SKETCH))), c)
 
-    # every group against its smallest member
-    smallest = groups.groupBy("signature").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = groups.join(smallest, "signature").select("signature", F.col("doc_id").alias("b"), "a").where("a <> b")
-    first = sketched(sketched(members.select("a", "b").distinct(), "a"), "b").where(_may_link("a", "b", similarity)).select("a", "b")
-    first = shared.written(_verify(first, docs, width, similarity), "first")
+    # every group against its smallest member: the star of that member, one row however many signatures are shared
+    smallest = groups.groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
+    stars = shared.written(groups.join(smallest, "signature").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
+    bodies = shared.written(_bodies(docs, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), width), "bodies")
+    first = sketched(sketched(stars, "a"), "b").where(_may_link("a", "b", similarity)).select("a", "b")
+    first = shared.written(_verify(first, bodies, similarity), "first")
     links = first.where("linked").select("a", "b")
     near = components(links)
 
-    # members that the smallest one does not reach, against the others of their group
+    # members that the smallest one does not reach, against the others of their star
     label = lambda frame, c: frame.join(near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_near")), c, "left").withColumn(f"{c}_near", F.coalesce(f"{c}_near", c))
-    apart = label(label(members, "a"), "b").where("a_near <> b_near")
-    left = shared.written(apart.select("signature", F.col("b").alias("r"), F.col("b_near").alias("r_near")), "left")
-    others = label(members.join(left.select("signature").distinct(), "signature", "left_semi").select("signature", "b"), "b")
+    labelled = label(label(stars, "a"), "b").select("a", "b", F.col("b_near").alias("near"), (F.col("a_near") != F.col("b_near")).alias("apart"))
+    crowds = stars.groupBy("a").agg(F.count("*").alias("members"))
+    labelled = labelled.join(labelled.where("apart").select("a").distinct(), "a", "left_semi").join(crowds, "a")
+    rest = shared.written(sketched(labelled, "b"), "rest")
+    # in a large star, a document with too few shingles that any other of the large stars has is linked with none there
+    large = rest.where(F.col("members") > SMALL_STAR)
+    own = shared.written(_own_shingles(bodies.join(large.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")), "own")
+    large = large.join(own.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("common", F.col("bn") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") * 100 >= F.col("bn") * similarity)
+    rest = large.unionByName(rest.where(F.col("members") <= SMALL_STAR).withColumn("common", F.col("bn")))
+    rest = shared.written(rest.drop("members"), "candidates")
+    left = rest.where("apart").select(
+        "a", F.col("b").alias("r"), F.col("bn").alias("rn"), *(F.col(f"bs{i}").alias(f"rs{i}") for i in range(SKETCH)), F.col("near").alias("r_near"), F.col("common").alias("r_common")
+    )
     second = (
-        sketched(left, "r")
-        .join(sketched(others, "b"), (left.signature == others.signature) & (F.col("b") != F.col("r")) & (F.col("b_near") != F.col("r_near")) & _may_link("r", "b", similarity))
+        left.join(rest, "a")
+        .where((F.col("near") != F.col("r_near")) & (~F.col("apart") | (F.col("r") < F.col("b"))) & (F.least("common", "r_common") * (100 + similarity) >= (F.col("bn") + F.col("rn")) * similarity) & _may_link("r", "b", similarity))
         .select(F.least("r", "b").alias("a"), F.greatest("r", "b").alias("b"))
         .distinct()
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
-    second = shared.written(_verify(second, docs, width, similarity), "second")
+    second = shared.written(_verify(second, bodies, similarity), "second")
     more = second.where("linked").select("a", "b")
     labels = components(links.union(more)) if more.limit(1).count() else near
 

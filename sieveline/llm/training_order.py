@@ -1,15 +1,17 @@
 """Training-order materialisation of token ids.
 
-Documents are encoded and cut into sequences of a fixed number of ids.  Every
-sequence has a dense index (its place in the written token table); a keyed
-Feistel network over the next power of four, walked until it falls below the
-number of sequences, maps that index to its slot.  Slots are dealt by range into
-shards of a fixed stride, so that any slot's bytes are found by arithmetic and a
-reader resumes at any slot.
+Documents are dealt into buckets by a hash, ordered within them, encoded and cut
+into sequences of a fixed number of ids.  Every sequence has a dense index (the
+sequences of the buckets before, and its rank in its own); a keyed Feistel network
+over the next power of four, walked until it falls below the number of sequences,
+maps that index to its slot.  Slots are dealt by range into shards of a fixed
+stride, so that any slot's bytes are found by arithmetic and a reader resumes at
+any slot.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -23,7 +25,9 @@ from sieveline.llm.rolling import mix
 
 SEQUENCE, PAD, KEY, ROUNDS = 512, 49407, 20240601, 4
 SLOTS_PER_SHARD = 1024
-SEQUENCES = "doc_id long, sequence int, n_ids int, body binary"
+#: Rows of a bucket, and the most buckets; a driver's array has a number for each.
+BUCKET_ROWS, MAX_BUCKETS = 512, 65_536
+SEQUENCES = "bucket int, rank long, doc_id long, sequence int, n_ids int, body binary"
 SHARDS = "shard long, first_slot long, n_slots long, stride int, ids binary, doc_ids binary, sequences binary, lengths binary"
 RESULT = "slot long, shard long, byte_offset long, doc_id long, sequence int, n_ids int, ids_crc32 long"
 
@@ -45,57 +49,99 @@ def permute(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS)
     return out.astype(np.int64)
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """(bucket, doc_id, text), each bucket whole in a partition and in order.
+
+    The number of buckets follows the number of rows alone, and a row's bucket its
+    id and text, so the order doesn't depend on how the table was read.
+    """
+    n = min(max(1, math.ceil(docs.count() / BUCKET_ROWS)), MAX_BUCKETS)
+    mark = F.xxhash64("doc_id", "text")
+    return docs.select(F.pmod(mark, F.lit(n)).cast("int").alias("bucket"), "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
+
+
 def cut(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
-    """Sequences of at most ``length`` ids (unsigned 16 bits), in document order; a text without ids gives none."""
+    """Sequences of at most ``length`` ids (unsigned 16 bits) of ``dealt`` rows, with their rank in the bucket.
+
+    A text without ids gives none.  An id beyond 16 bits raises.
+    """
 
     def encode(tables):
+        bucket, rank = None, 0  # of the rows so far
         for t in tables:
-            ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
+            buckets = np.asarray(t.column("bucket"))
+            ids, texts = t.column("doc_id"), t.column("text").to_pylist()
             for at, some in encoding.batches(texts):
-                rows = []
-                for k, body in enumerate(encoding.encoder(vocabulary).encode(some)):
-                    values = np.frombuffer(body, "<u4").astype("<u2")
-                    rows += [(ids[at + k], s, len(part := values[a : a + length]), part.tobytes()) for s, a in enumerate(range(0, len(values), length))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "sequence", "n_ids", "body"])
-
-    return docs.select("doc_id", "text").mapInArrow(encode, SEQUENCES)
+                bodies = encoding.encoder(vocabulary).encode(some)
+                values = np.frombuffer(b"".join(bodies), "<u4")
+                if len(values) and int(values.max()) > 0xFFFF:
+                    raise ValueError("the vocabulary has ids beyond 16 bits")
+                sizes = np.array([len(b) // 4 for b in bodies], np.int64)
+                pieces = -(-sizes // length)  # sequences of each text
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                sequence = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+                starts = (np.cumsum(sizes) - sizes)[owner] + sequence * length
+                lengths = np.minimum(sizes[owner] - sequence * length, length)
+                own = buckets[at : at + len(some)][owner]
+                # ranks go on from batch to batch
+                ranks = np.arange(len(own))
+                if len(own):
+                    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    ranks -= np.repeat(first, np.diff([*first, len(own)]))
+                    if own[0] == bucket:
+                        ranks[own == bucket] += rank
+                    bucket, rank = own[-1], int(ranks[-1]) + 1
+                    data = pa.py_buffer(values.astype("<u2").tobytes())
+                    offsets = np.concatenate((starts * 2, [2 * len(values)])).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(own.astype(np.int32)),
+                            pa.array(ranks.astype(np.int64)),
+                            ids.take(pa.array(at + owner)),
+                            pa.array(sequence.astype(np.int32)),
+                            pa.array(lengths.astype(np.int32)),
+                            pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.tobytes()), data]),
+                        ],
+                        ["bucket", "rank", "doc_id", "sequence", "n_ids", "body"],
+                    )
+
+    return docs.mapInArrow(encode, SEQUENCES)
 
 
 def materialise(docs: DataFrame, vocabulary: str, path: str, length: int = SEQUENCE, key: int = KEY, slots: int = SLOTS_PER_SHARD, pad: int = PAD) -> int:
     """Write the shards of all sequences in training order to ``path``; returns the number of sequences.
 
-    Null and empty texts have no sequence; equal rows are separate sequences.  The
-    vocabulary must have at most 65,536 ids.
+    One key and one corpus give one order, however the table is partitioned: the
+    index that the key permutes counts sequences by bucket, doc_id and text.  Null
+    and empty texts have no sequence; a null doc_id is carried as -1; equal rows
+    are separate sequences; an empty table gives no shard.  The vocabulary must
+    have at most 65,536 ids.  Only doc_id and text are read.
     """
-    kept = shared.written(cut(docs, vocabulary, length), "sequences")
-    place = kept.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    # one row per file of the written table
-    counts = sorted((r.file, r.n) for r in place.groupBy("file").agg(F.count("*").alias("n")).collect())
-    total = sum(n for _, n in counts)
-    base, firsts = 0, []
-    for file, n in counts:
-        firsts.append((file, base))
-        base += n
+    kept = shared.written(cut(dealt(docs), vocabulary, length), "sequences")
+    # at most ``MAX_BUCKETS`` rows
+    counts = dict((r.bucket, r.n) for r in kept.groupBy("bucket").agg(F.count("*").alias("n")).collect())
+    sizes = np.zeros(max(counts, default=0) + 1, np.int64)
+    for bucket, n in counts.items():
+        sizes[bucket] = n
+    total = int(sizes.sum())
+    base = np.cumsum(sizes) - sizes
     spark = docs.sparkSession
-    files = spark.createDataFrame(firsts, "file string, base long")
 
     @F.pandas_udf("long")
-    def slot_of(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), total, key))
+    def slot_of(bucket: pd.Series, rank: pd.Series) -> pd.Series:
+        return pd.Series(permute(base[bucket.to_numpy()] + rank.to_numpy(), total, key))
 
-    dealt = (
-        place.join(F.broadcast(files), "file")
-        .withColumn("slot", slot_of(F.col("base") + F.col("row")))
-        .select(F.floor(F.col("slot") / slots).alias("shard"), "slot", "doc_id", "sequence", "n_ids", "body")
-    )
+    placed = kept.withColumn("slot", slot_of("bucket", "rank")).select(F.floor(F.col("slot") / slots).alias("shard"), "slot", "doc_id", "sequence", "n_ids", "body")
 
     def build(k, t):
-        t = t.sort_by("slot")
+        t = t.sort_by("slot").combine_chunks()
         n = t.num_rows
         ids = np.full((n, length), pad, "<u2")
-        for i, body in enumerate(t.column("body").to_pylist()):
-            ids[i, : len(body) // 2] = np.frombuffer(body, "<u2")
+        bodies = t.column("body").chunk(0) if n else pa.array([], pa.binary())
+        cuts = np.frombuffer(bodies.buffers()[1], np.int32, n + 1, bodies.offset * 4) if n else np.zeros(1, np.int32)
+        taken = np.frombuffer(bodies.buffers()[2], "<u2", (cuts[-1] - cuts[0]) // 2, cuts[0]) if cuts[-1] > cuts[0] else np.zeros(0, "<u2")
+        # row by row, as many places from the left as the sequence has ids
+        ids[np.arange(length) < (np.diff(cuts) // 2)[:, None]] = taken
         number = k[0].as_py()
         array = lambda c, kind: np.asarray(t.column(c).combine_chunks().fill_null(-1)).astype(kind).tobytes()
         return pa.table(
@@ -104,7 +150,7 @@ def materialise(docs: DataFrame, vocabulary: str, path: str, length: int = SEQUE
         )
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards_ = dealt.repartitionByRange(parts, "shard").groupBy("shard").applyInArrow(build, SHARDS)
+    shards_ = placed.repartitionByRange(parts, "shard").groupBy("shard").applyInArrow(build, SHARDS)
     # rows are large: look at their size often, and keep row groups small
     writer = shards_.write.option("compression", "zstd").option("parquet.page.size.row.check.min", 4).option("parquet.block.size", 32 << 20)
     writer.parquet(path)

@@ -292,6 +292,14 @@ def test_training_order(spark, awkward, empty, library, tmp_path):
     assert training_order.round_trip(empty, VOCABULARY).count() == 0
 
 
+def test_training_order_is_a_function_of_key_and_corpus(spark, awkward, documents):
+    for docs in (awkward, documents.select("doc_id", "text")):
+        rows = [training_order.round_trip(d, VOCABULARY, length=64).select("slot", "doc_id", "sequence", "ids_crc32").collect() for d in (docs.coalesce(1), docs.repartition(3), docs.orderBy(F.desc("doc_id")))]
+        assert set(rows[0]) == set(rows[1]) == set(rows[2]) and len(rows[0]) > 100
+    other = training_order.round_trip(awkward, VOCABULARY, length=64, key=5).select("slot", "doc_id", "sequence").collect()
+    assert {(r.slot, r.doc_id, r.sequence) for r in other} != {(r.slot, r.doc_id, r.sequence) for r in training_order.round_trip(awkward, VOCABULARY, length=64).collect()}
+
+
 def test_fingerprints(awkward, empty, documents):
     rows = fingerprints.compare_edited(awkward).collect()
     ordered = sorted(awkward.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
