@@ -2,11 +2,13 @@
 
 1. Confirm: every window of ``window`` words has a least ``phrase``-word gram
    (by hash); a gram that two documents share makes a recurring phrase.
-2. Compile: each shard of documents builds an Aho-Corasick automaton of the
-   recurring phrases that concern it.
-3. Stream: all documents run through their shard's automaton; each occurrence
-   marks the windows around it, and only those windows are compared by a 96-bit
-   hash with all others, to find the smallest document id that has them.
+2. Compile: each shard of the phrases, those that its documents have as the least
+   of some window, becomes one Aho-Corasick automaton, compiled once.
+3. Stream: all documents run through the automaton of their shard once; its hits
+   alone are the occurrences.  Each marks the windows around it, which are written
+   down, and only those windows are compared by a 96-bit hash with all others, to
+   find the smallest document id that has them.
+4. Remove: a last pass reads the windows and the answers; it hashes nothing again.
 
 A window that recurs holds its least gram wherever it stands, so no recurring
 window is missed; the comparison decides, so nothing else is removed.
@@ -20,39 +22,49 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sieveline.llm import rolling, shards
+from sieveline.llm import rolling, shards, shared
 
 WINDOW, PHRASE, SHARD_BYTES = 50, 8, 4 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-#: Columns of the result that ``keep`` can't name.
-OWN = ("shard", "doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept_text")
+RESULT_COLUMNS = tuple(c.split()[0] for c in RESULT.split(", "))
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_INSIDE = np.ones(256, bool)
+_INSIDE[[0x20, *range(0x09, 0x0E)]] = False
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LONG_WORD = 64
 
 
-def words(texts: shards.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (maximal run without ASCII white space), and the number of words of each text."""
-    data, offsets = texts.data, texts.offsets
-    inside = ~_SPACE[data]
-    begins = inside.copy()
+def word_bounds(texts: shards.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word (maximal run without ASCII white space), and the number of words of each text."""
+    inside = _INSIDE[texts.data]
+    begins, lasts = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    first = offsets[:-1][texts.lengths > 0]
-    begins[first] = inside[first]
+    lasts[:-1] &= ~inside[1:]
+    some = texts.lengths > 0
+    first, last = texts.offsets[:-1][some], texts.offsets[1:][some] - 1
+    begins[first], lasts[last] = inside[first], inside[last]
     starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    which = np.cumsum(begins) - 1
-    at = np.arange(len(data), dtype=np.int64) - starts[np.maximum(which, 0)]
-    longest = int(at[inside].max()) + 1
-    with np.errstate(over="ignore"):
-        powers = np.full(max(longest, 1), rolling.BASES[1], np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        terms = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * powers[np.where(inside, at, 0)], np.uint64(0))
-        hashes = rolling.mix(np.add.reduceat(terms, starts), 7)
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    return starts, np.flatnonzero(lasts) + 1, np.diff(np.searchsorted(starts, texts.offsets))
+
+
+def words(texts: shards.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the number of words of each text."""
+    starts, ends, counts = word_bounds(texts)
+    data = np.zeros(len(texts.data) + 8, np.uint8)
+    data[:-8] = texts.data
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    lengths = ends - starts
+    hashes = rolling.mix((eight[starts] & _MASK[np.minimum(lengths, 8)]) + rolling.mix(lengths.astype(np.uint64), 6), 7)
+    # eight bytes at a time; the few words beyond by themselves
+    for k in range(8, _LONG_WORD, 8):
+        more = np.flatnonzero((lengths > k) & (lengths <= _LONG_WORD))
+        if len(more):
+            hashes[more] = rolling.mix(hashes[more] ^ (eight[starts[more] + k] & _MASK[np.minimum(lengths[more] - k, 8)]), 7)
+    for i in np.flatnonzero(lengths > _LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(texts.data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, counts
 
 
 class _Shard:
@@ -68,20 +80,27 @@ class _Shard:
         self.window, self.phrase = window, phrase
 
     def anchors(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the least phrases of all windows: their hashes and whether two documents of the shard have them."""
         starts, _ = rolling.runs(self.minima, self.valid)
         # minima are small numbers; mixed, they spread over the buckets
         return shards.recurrence(bits, rolling.mix(self.minima[starts], 9), self.ids[starts])
 
-    def candidates(self, bits: int, recurring: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold a recurring phrase, as the shard's automaton finds them."""
-        grams = self.prefix.every(self.phrase)
-        cut = rolling.mix(grams, 9) >> np.uint64(32 - bits)
+    def phrases(self, bits: int, recurring: np.ndarray) -> np.ndarray:
+        """A place of each confirmed phrase: one of the ``recurring`` hashes."""
+        starts, _ = rolling.runs(self.minima, self.valid)
+        value, once = np.unique(self.minima[starts], return_index=True)
+        cut = rolling.mix(value, 9) >> np.uint64(32 - bits)
         at = np.searchsorted(recurring, cut)
-        places = np.flatnonzero((at < len(recurring)) & (recurring[np.minimum(at, len(recurring) - 1)] == cut)) if len(recurring) else np.zeros(0, np.int64)
-        if not len(places):
-            return places
-        _, once = np.unique(grams[places], return_index=True)
-        patterns = places[once][:, None] + np.arange(self.phrase)
+        confirmed = recurring[np.minimum(at, len(recurring) - 1)] == cut if len(recurring) else np.zeros(len(cut), bool)
+        starts = starts[once[confirmed]]
+        grams = self.prefix.every(self.phrase)
+        return starts + np.argmin(grams[starts[:, None] + np.arange(self.window - self.phrase + 1)], 1) if len(starts) else starts
+
+    def occurrences(self, phrases: np.ndarray) -> np.ndarray:
+        """Places of all occurrences of the phrases, as their automaton finds them in the shard's documents."""
+        if not len(phrases):
+            return phrases
+        patterns = phrases[:, None] + np.arange(self.phrase)
         # a letter for each word of the phrases; code 0 for all others
         alphabet = np.unique(self.hashes[patterns])
         rank = np.minimum(np.searchsorted(alphabet, self.hashes), len(alphabet) - 1)
@@ -89,18 +108,23 @@ class _Shard:
         letters[letters >= 0xD800] += 0x800  # past the surrogates
         spelled = letters.tobytes().decode("utf-32-le")
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in places[once].tolist():
+        for p in phrases.tolist():
             automaton.add_word(spelled[p : p + self.phrase])
         automaton.make_automaton()
-        steps = np.zeros(len(spelled) + 1, np.int64)
         ends = np.cumsum(self.counts)
-        for start, end in zip((ends - self.counts).tolist(), ends.tolist()):
-            if end - start >= self.window:
-                found = np.fromiter((e for e, _ in automaton.iter(spelled[start:end])), np.int64) + start - self.phrase + 1
-                if len(found):
-                    np.add.at(steps, np.maximum(found - (self.window - self.phrase), start), 1)
-                    np.add.at(steps, found + 1, -1)
-        return np.flatnonzero((np.cumsum(steps[:-1])[: len(self.valid)] > 0) & self.valid)
+        begins = ends - self.counts
+        long = self.counts >= self.window
+        found = [np.fromiter((e for e, _ in automaton.iter(spelled, a, b)), np.int64) for a, b in zip(begins[long].tolist(), ends[long].tolist())]
+        return np.concatenate(found) - self.phrase + 1 if found else np.zeros(0, np.int64)
+
+    def around(self, places: np.ndarray) -> np.ndarray:
+        """Starts of the windows that hold a phrase at one of ``places``."""
+        n = len(self.valid)
+        if not n:
+            return np.zeros(0, np.int64)
+        # a window that would begin in the document before isn't valid there
+        steps = np.bincount(np.maximum(places - (self.window - self.phrase), 0), minlength=n + 1)[: n + 1] - np.bincount(np.minimum(places + 1, n), minlength=n + 1)
+        return np.flatnonzero((np.cumsum(steps[:n]) > 0) & self.valid)
 
     def windows(self, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Distinct windows (their hashes, sorted, and smallest document), and for each start its window and document."""
@@ -122,34 +146,39 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
     doc_id do not affect each other.  Only doc_id and text are read.
     """
     n, bits = shards.plan_shards(docs, "text", shard_bytes)
-    if set(keep) & set(OWN):
-        raise ValueError(f"columns of these names can't be kept: {sorted(set(keep) & set(OWN))}")
-    dealt = shards.deal(docs, n, keep)
-    result = ", ".join([RESULT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    if clash := {c for c in keep if c in RESULT_COLUMNS}:
+        raise ValueError(f"the result has columns of these names itself: {sorted(clash)}")
+    names = [f"kept_column_{i}" for i in range(len(keep))]  # that clash with none of the columns within
+    dealt = shards.deal(docs.withColumns({k: F.col(f"`{c}`") for k, c in zip(names, keep)}), n, tuple(names))
+    result = ", ".join([RESULT, *(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(names, keep))])
 
     def ask(key, table):
         s = _Shard(table, window, phrase)
         return shards.recurrence_posts(key[0].as_py(), bits, *s.anchors(bits))
 
-    def recurring(s: _Shard, replies: pa.Table) -> np.ndarray:
-        v, _ = s.anchors(bits)
-        return v[shards.read_answers(replies, 1)]
-
-    def compare(key, table, replies):
+    def locate(key, table, replies):
         s = _Shard(table, window, phrase)
-        (h1, h2, least), _, _ = s.windows(s.candidates(bits, recurring(s, replies)))
-        return shards.posts(key[0].as_py(), bits, h1, [h1, h2, least])
+        v, _ = s.anchors(bits)
+        starts = s.around(s.occurrences(s.phrases(bits, v[shards.read_answers(replies, 1)])))
+        (h1, h2, least), group, ids = s.windows(starts)
+        asked = shards.posts(key[0].as_py(), bits, h1, [h1, h2, least])
+        # for the last pass: the windows, what was asked about each, and whether the shard itself knows the answer
+        own = b"".join((starts.astype(np.int32).tobytes(), group.astype(np.int32).tobytes(), np.packbits(ids > least[group]).tobytes()))
+        return pa.concat_tables([asked, pa.table([[-1], [key[0].as_py()], [len(starts)], pa.array([own], pa.binary())], schema=asked.schema)])
 
     def remove(key, table, replies):
-        s = _Shard(table, window, phrase)
-        starts = s.candidates(bits, recurring(s, replies))
-        (_, _, least), group, ids = s.windows(starts)
-        gone = shards.read_answers(replies, 2)[group] | (ids > least[group])
-        dropped = rolling.cover(starts[gone], window, len(s.hashes))
-        ends = np.cumsum(s.counts)
+        texts = shards.Texts(table)
+        _, _, counts = word_bounds(texts)
+        dropped = np.zeros(int(counts.sum()), bool)
+        for k, n, own in zip(*(replies.column(c).to_pylist() for c in ("kind", "n", "body"))):
+            if k == 0 and n:
+                starts, group = np.frombuffer(own, np.int32, n), np.frombuffer(own, np.int32, n, 4 * n)
+                gone = shards.read_answers(replies, 2)[group] | np.unpackbits(np.frombuffer(own, np.uint8, -1, 8 * n), count=n).astype(bool)
+                dropped = rolling.cover(starts[gone].astype(np.int64), window, len(dropped))
+        ends = np.cumsum(counts)
         kept_text, digests, removed = [], [], []
-        for i, (a, b) in enumerate(zip((ends - s.counts).tolist(), ends.tolist())):
-            whole, out = s.texts.text(i), dropped[a:b]
+        for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
+            whole, out = texts.text(i), dropped[a:b]
             own, k = whole.split(), int(out.sum())
             if k:
                 own = [own[j] for j in np.flatnonzero(~out).tolist()]
@@ -158,11 +187,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
             digests.append(hashlib.sha256(kept).hexdigest())
             kept_text.append((kept if k else whole).decode())
         return pa.table(
-            [table.column("doc_id"), pa.array(s.counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_text, pa.string()), *map(table.column, keep)],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *keep],
+            [table.column("doc_id"), pa.array(counts), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_text, pa.string()), *map(table.column, names)],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *names],
         )
 
     by_shard = dealt.groupBy("shard")
     first = by_shard.applyInArrow(ask, shards.POST).groupBy("bucket").applyInArrow(shards.shared_by_shards, shards.REPLY)
-    second = by_shard.cogroup(first.groupBy("shard")).applyInArrow(compare, shards.POST).groupBy("bucket").applyInArrow(shards.earliest_owner, shards.REPLY)
-    return by_shard.cogroup(first.unionByName(second).groupBy("shard")).applyInArrow(remove, result)
+    found = shared.written(by_shard.cogroup(first.groupBy("shard")).applyInArrow(locate, shards.POST), "windows")
+    second = found.where("bucket >= 0").groupBy("bucket").applyInArrow(shards.earliest_owner, shards.REPLY)
+    own = found.where("bucket < 0").select("shard", F.lit(0).alias("kind"), "bucket", "n", "body")
+    return by_shard.cogroup(second.unionByName(own).groupBy("shard")).applyInArrow(remove, result).withColumnsRenamed(dict(zip(names, keep)))
