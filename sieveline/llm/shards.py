@@ -34,9 +34,14 @@ def plan_shards(docs: DataFrame, text: str, shard_bytes: int) -> tuple[int, int]
     return n, max(0, math.ceil(math.log2(n)))
 
 
-def deal(docs: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(shard, doc_id, text and the columns to ``keep``): null texts count as empty; each row stays a row."""
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long")
+def deal(docs: DataFrame, n: int, keep: tuple[str, ...] = (), by_text: bool = True) -> DataFrame:
+    """(shard, doc_id, text and the columns to ``keep``): null texts count as empty; each row stays a row.
+
+    The text counts as well as the id, so that rows with one id, or none, spread; not
+    so where the id alone must tell the shard.
+    """
+    keys = ("doc_id", "text") if by_text else ("doc_id",)
+    number = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("long")
     return docs.select(number.alias("shard"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
 
 

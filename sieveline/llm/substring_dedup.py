@@ -118,13 +118,12 @@ class _Shard:
         return np.concatenate(found) - self.phrase + 1 if found else np.zeros(0, np.int64)
 
     def around(self, places: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold a phrase at one of ``places``."""
-        n = len(self.valid)
-        if not n:
-            return np.zeros(0, np.int64)
-        # a window that would begin in the document before isn't valid there
-        steps = np.bincount(np.maximum(places - (self.window - self.phrase), 0), minlength=n + 1)[: n + 1] - np.bincount(np.minimum(places + 1, n), minlength=n + 1)
-        return np.flatnonzero((np.cumsum(steps[:n]) > 0) & self.valid)
+        """Starts of the windows whose least phrase stands at one of ``places``: no other window can recur."""
+        grams = self.prefix.every(self.phrase)
+        found = np.full(len(grams), 2**64 - 1, np.uint64)
+        found[places] = grams[places]
+        least = rolling.sliding(found, self.window - self.phrase + 1, np.minimum)
+        return np.flatnonzero((least == self.minima) & self.valid)
 
     def windows(self, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Distinct windows (their hashes, sorted, and smallest document), and for each start its window and document."""
@@ -141,9 +140,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
 
     One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words
     joined by one space), kept_text (the text itself where nothing is removed, else
-    the kept words joined by one space), and the columns to ``keep`` as they are.  Null and empty texts have no words.  Rows
-    with a null doc_id are kept whole and remove nothing; rows that share a
-    doc_id do not affect each other.  Only doc_id and text are read.
+    the kept words joined by one space), and the columns to ``keep`` as they are.
+    Null and empty texts have no words.  Rows with a null doc_id are kept whole and
+    remove nothing; rows that share a doc_id do not affect each other; an empty table
+    gives no row.  Only doc_id, text and the columns to keep are read; a column of any
+    other name than the result's can be kept.
     """
     n, bits = shards.plan_shards(docs, "text", shard_bytes)
     if clash := {c for c in keep if c in RESULT_COLUMNS}:
@@ -163,7 +164,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
         (h1, h2, least), group, ids = s.windows(starts)
         asked = shards.posts(key[0].as_py(), bits, h1, [h1, h2, least])
         # for the last pass: the windows, what was asked about each, and whether the shard itself knows the answer
-        own = b"".join((starts.astype(np.int32).tobytes(), group.astype(np.int32).tobytes(), np.packbits(ids > least[group]).tobytes()))
+        own = b"".join((np.diff(starts, prepend=0).astype(np.int32).tobytes(), group.astype(np.int32).tobytes(), np.packbits(ids > least[group]).tobytes()))
         return pa.concat_tables([asked, pa.table([[-1], [key[0].as_py()], [len(starts)], pa.array([own], pa.binary())], schema=asked.schema)])
 
     def remove(key, table, replies):
@@ -172,9 +173,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
         dropped = np.zeros(int(counts.sum()), bool)
         for k, n, own in zip(*(replies.column(c).to_pylist() for c in ("kind", "n", "body"))):
             if k == 0 and n:
-                starts, group = np.frombuffer(own, np.int32, n), np.frombuffer(own, np.int32, n, 4 * n)
+                starts, group = np.cumsum(np.frombuffer(own, np.int32, n), dtype=np.int64), np.frombuffer(own, np.int32, n, 4 * n)
                 gone = shards.read_answers(replies, 2)[group] | np.unpackbits(np.frombuffer(own, np.uint8, -1, 8 * n), count=n).astype(bool)
-                dropped = rolling.cover(starts[gone].astype(np.int64), window, len(dropped))
+                dropped = rolling.cover(starts[gone], window, len(dropped))
         ends = np.cumsum(counts)
         kept_text, digests, removed = [], [], []
         for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
