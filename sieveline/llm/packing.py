@@ -30,17 +30,19 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def cut(tables):
         for table in tables:
-            ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-            rows = []
+            ids, texts = table.column("doc_id"), table.column("text").to_pylist()
             for at, some in encoding.batches(texts):
-                for k, body in enumerate(encoding.encoder(vocabulary).encode(some)):
-                    body += end_id.to_bytes(4, "little")
-                    for piece, a in enumerate(range(0, len(body), 4 * capacity)):
-                        part = body[a : a + 4 * capacity]
-                        rows.append((ids[at + k], piece, a // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32")
-            yield from pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=list(names)).to_batches()
+                values, sizes = encoding.encoder(vocabulary).flat(some)
+                body = memoryview(np.insert(values, np.cumsum(sizes), end_id).astype("<u4")).cast("B")
+                sizes = sizes + 1
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+                begins = 4 * ((np.cumsum(sizes) - sizes)[owner] + piece * capacity)
+                lengths = np.minimum(sizes[owner] - piece * capacity, capacity)
+                sums = [zlib.crc32(body[a : a + n]) for a, n in zip(begins.tolist(), (4 * lengths).tolist())]
+                columns = [ids.take(pa.array(at + owner)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(lengths), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 

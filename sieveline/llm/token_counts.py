@@ -7,6 +7,7 @@ how many tokens remain if each document is cut at a context limit.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
     def count(tables):
         for table in tables:
             ids, texts = table.column("doc_id"), table.column("text").to_pylist()
-            sizes = [len(b) // 4 for _, some in encoding.batches(texts) for b in encoding.encoder(vocabulary).encode(some)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+            sizes = [encoding.encoder(vocabulary).flat(some, ids=False)[1] for _, some in encoding.batches(texts)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_tokens long")
 
