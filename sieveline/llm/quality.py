@@ -1,7 +1,7 @@
 """Positive-unlabelled quality classifier.
 
-Trusted positives (label 1), unlabelled web text and a class prior train a linear
-model by the non-negative unbiased risk with logistic loss: the risk of the
+Trusted positives (label 1), unlabelled web text and an estimated class prior train a
+linear model by the non-negative unbiased risk with logistic loss: the risk of the
 unlabelled as negatives, less the prior's share of the positives as negatives, is
 kept from falling below zero.  Features are shares and shapes of a text's
 characters, words and lines; labels, language, source and id are never features.
@@ -9,6 +9,8 @@ characters, words and lines; labels, language, source and id are never features.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,31 +101,71 @@ def features(texts: list) -> np.ndarray:
     return out
 
 
-def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4):
-    """Weights and bias that minimise the non-negative positive-unlabelled risk (logistic loss, Adam).
+class Model(NamedTuple):
+    """Weights and bias of the score, and the prior that they were trained with (None: untrained)."""
+
+    weights: np.ndarray
+    bias: float
+    prior: float | None
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _descend(gradient, size: int, rounds: int, rate: float = 0.05) -> np.ndarray:
+    """Adam from zero."""
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    for step in range(1, rounds + 1):
+        g = gradient(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def _affine(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def nonnegative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, decay: float = 1e-4):
+    """Weights and bias that minimise the non-negative positive-unlabelled risk (logistic loss).
 
     Where the negatives' part of the risk would fall below zero, a step is taken
     to raise it again, as the estimator's authors propose.
     """
-    size = positive.shape[1]
-    w, b = np.zeros(size), 0.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
-    for step in range(1, rounds + 1):
-        zp, zu = positive @ w + b, unlabelled @ w + b
-        negatives = loss(-zu).mean() - prior * loss(-zp).mean()
-        gp = sigmoid(zp) / len(zp) * prior
-        gu = sigmoid(zu) / len(zu)
-        if negatives >= 0:
-            dp, du = -(1 - sigmoid(zp)) / len(zp) * prior - gp, gu
-        else:
-            dp, du = gp, -gu
-        g = np.append(positive.T @ dp + unlabelled.T @ du + decay * w, dp.sum() + du.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, b
+    p, u = _affine(positive), _affine(unlabelled)
+    shrink = np.append(np.full(positive.shape[1], decay), 0)
+
+    def gradient(w):
+        zp, zu = p @ w, u @ w
+        negatives = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        gp, gu = _sigmoid(zp) / len(zp) * prior, _sigmoid(zu) / len(zu)
+        dp, du = (-(1 - _sigmoid(zp)) / len(zp) * prior - gp, gu) if negatives >= 0 else (gp, -gu)
+        return p.T @ dp + u.T @ du + shrink * w
+
+    w = _descend(gradient, p.shape[1], rounds)
+    return w[:-1], w[-1]
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, half_p: np.ndarray, half_u: np.ndarray, rounds: int = 100, decay: float = 1e-2) -> float:
+    """Share of positives among the unlabelled, from scores of positives against unlabelled.
+
+    Each half is scored by a model of the other one.  Above any score, the share of
+    the unlabelled over the share of the positives is the prior or more; the least of
+    these ratios counts, where half of the positives or more are above, each less one
+    standard error: too high a prior costs far more than one that is a little low.
+    """
+    scores = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    p, u = _affine(positive), _affine(unlabelled)
+    for h in (0, 1):
+        x, y = p[half_p != h], u[half_u != h]
+        if not len(x) or not len(y):
+            continue
+        w = _descend(lambda w: y.T @ _sigmoid(y @ w) / len(y) - x.T @ (1 - _sigmoid(x @ w)) / len(x) + decay * w, p.shape[1], rounds)  # noqa: B023
+        scores[0][half_p == h], scores[1][half_u == h] = p[half_p == h] @ w, u[half_u == h] @ w
+    cuts = np.quantile(scores[0], np.linspace(0, 0.5, 51))
+    above_p, above_u = ((s[None, :] >= cuts[:, None]).mean(1) for s in scores)
+    return float(np.clip(((above_u - np.sqrt(above_u * (1 - above_u) / len(unlabelled))) / above_p).min(), 0.05, 0.999))
 
 
 def fold(doc_id):
@@ -131,16 +173,15 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Weights and bias, learnt from the training folds alone.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """The model, learnt from the training folds alone.
 
-    The prior is the share of positives among the labelled training rows.  Without
-    positives or text the model is zero: every score is 0.5.
+    The prior is estimated from the unlabelled training texts against the trusted
+    positives; no label 0 is read.  Without positives or text the model is zero:
+    every score is 0.5.  Null labels and ids are left out; an id counts as positive
+    if any of its labels is.
     """
-    known = labels.where(fold(F.col("doc_id")) != 0).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    prior = known.agg(F.avg("quality")).first()[0]
-    if not prior:
-        return np.zeros(SIZE), 0.0
+    known = labels.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     first = lambda frame: frame.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = first(known.where("quality = 1").select("doc_id")).withColumn("kind", F.lit(1)).unionByName(
         first(docs.where(fold(F.col("doc_id")) != 0).select("doc_id")).withColumn("kind", F.lit(0))
@@ -149,22 +190,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     def described(tables):
         for table in (part for t in tables for part in shards.slices(t)):
             values = features(table.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([table.column("kind"), pa.array([v.tobytes() for v in values], pa.binary())], ["kind", "values"])
+            yield pa.RecordBatch.from_arrays([table.column("kind"), table.column("half"), pa.array([v.tobytes() for v in values], pa.binary())], ["kind", "half", "values"])
 
     # at most 2 * sample_rows ids are broadcast, and as many rows return
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("kind", "text").mapInArrow(described, "kind int, values binary").collect()
-    x = {k: np.array([np.frombuffer(r.values, np.float32) for r in rows if r.kind == k], np.float64) for k in (0, 1)}
+    half = (F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int").alias("half")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("kind", half, "text").mapInArrow(described, "kind int, half int, values binary").collect()
+    rows = sorted((r.kind, r.half, bytes(r["values"])) for r in rows)  # whatever order they came in
+    x = {k: np.array([np.frombuffer(v, np.float32) for kind, _, v in rows if kind == k], np.float64) for k in (0, 1)}
+    halves = {k: np.array([h for kind, h, _ in rows if kind == k]) for k in (0, 1)}
     if not len(x[0]) or not len(x[1]):
-        return np.zeros(SIZE), 0.0
+        return Model(np.zeros(SIZE), 0.0, None)
     mean, spread = x[0].mean(0), x[0].std(0)
     spread[spread < 1e-6] = 1
-    w, b = nonnegative_risk((x[1] - mean) / spread, (x[0] - mean) / spread, min(float(prior), 0.999))
-    return w / spread, float(b - (mean / spread) @ w)
+    unlabelled, positive = (x[0] - mean) / spread, (x[1] - mean) / spread
+    prior = estimated_prior(positive, unlabelled, halves[1], halves[0])
+    w, b = nonnegative_risk(positive, unlabelled, prior)
+    return Model(w / spread, float(b - (mean / spread) @ w), prior)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for each row; a null id is in no held-out fold."""
-    w, b = model
+    w, b, _ = model
 
     def scored(tables):
         for table in (part for t in tables for part in shards.slices(t)):
@@ -178,9 +224,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     return docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(scored, RESULT)
 
 
-def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more."""
-    w, b = model
+    w, b, _ = model
 
     def chosen(tables):
         for t in (part for table in tables for part in shards.slices(table)):
