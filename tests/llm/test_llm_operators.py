@@ -82,7 +82,8 @@ def removed(symbols, rows, width):
 def test_substring_dedup(awkward, shard_bytes):
     rows = [(r.doc_id, (r.text or "").encode().split()) for r in awkward.collect()]
     expected = Counter((d, len(s), sum(g), hashlib.sha256(b" ".join(w for w, x in zip(s, g) if not x)).hexdigest()) for d, s, g in removed(tuple, rows, 50))
-    found = substring_dedup.dedup(awkward, shard_bytes=shard_bytes, keep=("lang", "rank")).collect()
+    found = substring_dedup.dedup(awkward, shard_bytes=shard_bytes, keep=("lang", "rank", "shard")).collect()
+    assert {(r.lang, r.rank, r.shard) for r in found} == {("en", "y", "x")}
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found) == expected
     assert sum(r.n_removed for r in found) > 500
     originals = {(r.doc_id, r.text or "") for r in awkward.collect()}
@@ -91,6 +92,29 @@ def test_substring_dedup(awkward, shard_bytes):
         substring_dedup.dedup(awkward, keep=("n_words",))
 
 
+def test_substring_dedup_needs_its_automata(awkward, empty, monkeypatch):
+    assert substring_dedup.dedup(empty).count() == 0
+    docs = awkward.where("doc_id < 50").coalesce(1)
+    shard = substring_dedup._Shard(pa.Table.from_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toArrow().to_batches()), 50, 8)
+    starts, _ = rolling.runs(shard.minima, shard.valid)
+    phrases = shard.phrases(0, np.unique(rolling.mix(shard.minima[starts], 9) >> np.uint64(32)))
+    grams = shard.prefix.every(8)
+    # every place of every phrase, and no window without one
+    ends = np.cumsum(shard.counts)
+    inside = [p for a, b in zip(ends - shard.counts, ends) if b - a >= 50 for p in range(a, b - 7)]
+    assert sorted(shard.occurrences(phrases).tolist()) == [p for p in inside if grams[p] in set(grams[phrases].tolist())]
+    assert shard.around(shard.occurrences(phrases)).tolist() == np.flatnonzero(shard.valid).tolist()
+    assert len(shard.around(np.zeros(0, np.int64))) == 0
+
+
+def test_words_of_any_length():
+    pieces = ["a", "a\x00", "ab" * 4, "ab" * 4 + "c", "x" * 63, "x" * 64, "x" * 65, "x" * 66, "日本" * 40, "日本" * 40 + "語", "y" * 5000]
+    table = pa.table({"doc_id": [1, 2, 3], "text": [" ".join(pieces), "\n".join(reversed(pieces)), ""]})
+    hashes, counts = substring_dedup.words(shards.Texts(table))
+    assert counts.tolist() == [len(pieces), len(pieces), 0]
+    assert hashes[: len(pieces)].tolist() == hashes[len(pieces) :][::-1].tolist() and len(set(hashes.tolist())) == len(pieces)
+
+
 @pytest.mark.parametrize("shard_bytes", [1500, 1 << 22])
 def test_suffix_dedup(awkward, shard_bytes):
     rows = [(r.doc_id, (r.text or "").encode()) for r in awkward.collect()]
@@ -99,6 +123,7 @@ def test_suffix_dedup(awkward, shard_bytes):
         spans = sum(x and not (i and g[i - 1]) for i, x in enumerate(g))
         expected[d, len(s), sum(g), spans, hashlib.sha256(bytes(b for b, x in zip(s, g) if not x)).hexdigest()] += 1
     found = suffix_dedup.dedup(awkward, shard_bytes).collect()
+    assert suffix_dedup.dedup(awkward.where("false")).count() == 0 and ngram_join.join(awkward.where("false")).count() == 0
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == expected
 
 
@@ -223,15 +248,35 @@ def test_quality(spark, documents, awkward, empty):
     rows = quality.classify(documents, labels).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in documents.collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
-    right = [r.predicted == known[r.doc_id] for r in rows if r.doc_id in known]
-    assert sum(right) > 0.9 * len(right)
+    for kind, least in ((0, 0.8), (1, 0.9)):  # recall of each label, held out or not
+        right = [r.predicted == kind for r in rows if known.get(r.doc_id) == kind]
+        assert sum(right) >= least * len(right)
     model = quality.fit(documents, labels)
+    assert 0.5 < model.prior < 0.95
     assert quality.score(awkward, model).count() == awkward.count() and quality.score(empty, model).count() == 0
     assert {r.score for r in quality.classify(documents, labels.where("false")).collect()} == {0.5}
     kept = quality.accepted(awkward, model)
     assert kept.columns == awkward.columns
 
 
+def test_quality_held_out(spark):
+    """On a larger table, recall of each label among the held-out documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality.classify(docs, labels).collect() if r.held_out]
+    for kind in (0, 1):
+        right = [r.predicted == kind for r in rows if known.get(r.doc_id) == kind]
+        assert len(right) > 5 and sum(right) >= 0.9 * len(right)
+
+
+def test_estimated_prior():
+    r = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.85):
+        draw = lambda n, share: r.normal(size=(n, 4)) + np.where(r.random(n) < share, 2.0, -2.0)[:, None] * [1, 0.5, 0, 0]
+        p, u = draw(2000, 1), draw(5000, prior)
+        assert prior - 0.08 < quality.estimated_prior(p, u, np.arange(2000) % 2, np.arange(5000) % 2) < prior + 0.03
+
+
 def test_quality_ignores_held_out_labels(spark, documents):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     flipped = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
