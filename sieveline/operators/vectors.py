@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.vectors import dot, l2_normalise
+from sieveline.operators import blocked, lexical
 
 
 def hash_embed(texts: DataFrame, dims: int = 1024) -> DataFrame:
@@ -38,23 +39,60 @@ def embed_cached(texts: DataFrame, embed=hash_embed, dims: int = 1024) -> DataFr
     return keyed.select("id", "key").join(embed(once, dims).withColumnRenamed("id", "key"), "key").select("id", "vector")
 
 
+def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
+    """Lists as rows of ``dims`` doubles: longer ones are cut, shorter ones filled with zeros."""
+    lengths = np.asarray(vectors.value_lengths().fill_null(0))
+    flat = np.asarray(vectors.flatten().cast(pa.float64()).fill_null(0))
+    if (lengths == dims).all():
+        return flat.reshape(-1, dims)
+    out = np.zeros((len(lengths), dims))
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[row[place < dims], place[place < dims]] = flat[place < dims]
+    return out
+
+
+def _asked(queries: DataFrame) -> tuple[pa.Array, np.ndarray] | None:
+    """Ids and matrix of the queries, or None if they are too many for the driver."""
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dims")).first()
+    if not blocked.fits(size.n, size.dims):
+        return None
+    rows = queries.select("query_id", "vector").toArrow().combine_chunks()
+    return rows.column("query_id").combine_chunks(), _matrix(rows.column("vector").combine_chunks(), size.dims)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    size = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(size == 0, 1, size)
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest chunks of each query: every query against every vector.
 
-    ``vectors``: chunk_id, vector; ``queries``: query_id, vector.  Norms are divided
-    out once per vector, so a pair costs one inner product.
+    ``vectors``: chunk_id, vector; ``queries``: query_id, vector.  Queries up to
+    ``blocked.MOST_CELLS`` numbers are multiplied with each batch of vectors; beyond,
+    pairs are rows.
     """
+    if asked := _asked(queries):
+        ids, matrix = asked
+        unit = _unit(matrix)
+        score = lambda batch: unit @ _unit(_matrix(batch.column("vector"), unit.shape[1])).T
+        return blocked.top_k(vectors.select("chunk_id", "vector"), ids, dict(queries.dtypes)["query_id"], k, score, unit.shape[1])
     unit = vectors.select("chunk_id", l2_normalise(F.col("vector")).alias("v"))
     asked = queries.select("query_id", l2_normalise(F.col("vector")).alias("q"))
-    scored = unit.crossJoin(asked).select("query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return lexical.top_k(unit.crossJoin(asked).select("query_id", "chunk_id", dot(F.col("q"), F.col("v")).alias("score")), k)
 
 
 def knn_l2(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest by Euclidean distance; the score is 1 - distance."""
+    """The ``k`` nearest by Euclidean distance; the score is 1 - distance.  Plans as for ``cosine_top_k``."""
+    if asked := _asked(queries):
+        ids, matrix = asked
+
+        def score(batch):
+            rows = _matrix(batch.column("vector"), matrix.shape[1])
+            return np.array([1 - np.sqrt(((rows - q) ** 2).sum(1)) for q in matrix])
+
+        return blocked.top_k(vectors.select("chunk_id", "vector"), ids, dict(queries.dtypes)["query_id"], k, score, matrix.shape[1])
     pairs = vectors.crossJoin(queries.withColumnRenamed("vector", "q"))
     gap = F.zip_with("vector", "q", lambda x, y: x.cast("double") - y.cast("double"))
-    scored = pairs.select("query_id", "chunk_id", (1 - F.sqrt(dot(gap, gap))).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return lexical.top_k(pairs.select("query_id", "chunk_id", (1 - F.sqrt(dot(gap, gap))).alias("score")), k)

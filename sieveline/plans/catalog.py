@@ -143,7 +143,7 @@ def token_estimate(t):
 @query(f"WITH {_bm25(_DOCS, t1, 1.2, 0.75)} SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM ({_top(5)})")
 def bm25_topk(t):
     """The five best documents of each benchmark item by BM25."""
-    return lexical.top_k(lexical.bm25(_chunks(t), _asked(t)), 5).select("query_id", "chunk_id", "rank", _r("score").alias("score"))
+    return lexical.best(_chunks(t), _asked(t), 5).select("query_id", "chunk_id", "rank", _r("score").alias("score"))
 
 
 @query(f"WITH {_bm25(_DOCS, t1, 1.2, 0.75)}, allq AS (SELECT item_id AS query_id, chunk_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN ({_DOCS}) d LEFT JOIN scored ON scored.query_id = item_id AND scored.chunk_id = d.chunk_id) SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM ({_top(20, 'allq').replace('SELECT *', 'SELECT query_id, chunk_id, score')})".replace("SELECT item_id AS query_id, chunk_id, coalesce", "SELECT item_id AS query_id, d.chunk_id, coalesce"))
@@ -385,7 +385,7 @@ _TAG = "CASE WHEN length(text) < 150 THEN 'factoid' WHEN length(text) < 300 THEN
 
 
 def _metrics(t):
-    found = lexical.top_k(lexical.bm25(_chunks(t), _asked(t)), 5).join(_chunks(t), "chunk_id").withColumn("token_estimate", F.ceil(F.length("text") / 1.6))
+    found = lexical.best(_chunks(t), _asked(t), 5).join(_chunks(t), "chunk_id").withColumn("token_estimate", F.ceil(F.length("text") / 1.6))
     return evaluation.query_metrics(found.select("query_id", "chunk_id", "rank", "token_estimate"), evaluation.hits(_asked(t), _chunks(t)), evaluation.count_relevant(_asked(t), _chunks(t)))
 
 
