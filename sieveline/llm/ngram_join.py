@@ -14,8 +14,8 @@ which only such sets share.  So no link is missed.
 Exact copies of a set are one class before any signature is made.  Members of a
 signature's group are verified against its smallest member, each pair once: the
 groups with one smallest member make its star.  Only those it is not linked with,
-directly or through others, are tested against the rest of the star, and of a large
-star only those with enough shingles that others there have.
+directly or through others, are tested against the rest of the star, and of these
+only those with enough shingles that others have.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ from sieveline.llm.substring_dedup import words
 SHINGLE, SIMILARITY, SHARD_BYTES = 5, 80, 4 << 20
 #: 64-bit words of a set's sketch: the parity of its shingles' numbers in as many bits.
 SKETCH = 8
-#: Stars of more members are thinned by the shingles that members share.
-SMALL_STAR = 16
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -179,9 +177,9 @@ def describe(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def _groups(docs: DataFrame, reps: DataFrame, shard_bytes: int, width: int, similarity: int) -> DataFrame:
-    """(signature, doc_id): members of the signatures that two or more sets share."""
+    """(signature, doc_id, null): members of the signatures that two or more sets share; (null, doc_id, body): the sorted shingles of each member."""
     n, bits = shards.plan_shards(docs, "text", shard_bytes)
-    by_shard = shards.deal(docs, n).groupBy("shard")
+    by_shard = shards.deal(docs.where("doc_id is not null"), n, by_text=False).groupBy("shard")
     chosen = reps.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("body"))
 
     def signed(table, extra):
@@ -215,23 +213,21 @@ def _groups(docs: DataFrame, reps: DataFrame, shard_bytes: int, width: int, simi
         cut = values >> _U(32 - bits)
         at = np.minimum(np.searchsorted(shared_, cut), max(len(shared_) - 1, 0))
         hit = shared_[at] == cut if len(shared_) else np.zeros(len(cut), bool)
-        return pa.table([pa.array(values[hit].view(np.int64)), pa.array(ids[owner[hit]])], names=["signature", "doc_id"])
+        members = np.unique(owner[hit])
+        bodies = sets.subset(np.isin(np.arange(len(ids)), members))
+        cuts = np.concatenate((np.zeros(hit.sum(), np.int32), [0], bodies.ends)).astype(np.int32)
+        none = np.concatenate((np.ones(hit.sum(), bool), np.zeros(len(members), bool)))
+        return pa.table(
+            [
+                pa.array(np.concatenate((values[hit].view(np.int64), np.zeros(len(members), np.int64))), mask=~none),
+                pa.array(np.concatenate((ids[owner[hit]], ids[members]))),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(bodies.values.view(np.int64)), mask=pa.array(none)),
+            ],
+            names=["signature", "doc_id", "body"],
+        )
 
     replies = by_shard.cogroup(chosen.groupBy("shard")).applyInArrow(ask, shards.POST).groupBy("bucket").applyInArrow(shards.shared_by_shards, shards.REPLY)
-    return by_shard.cogroup(chosen.unionByName(replies).groupBy("shard")).applyInArrow(emit, "signature long, doc_id long")
-
-
-def _bodies(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, body): the sorted shingles of each document in ``wanted`` (doc_id)."""
-
-    def sets(tables):
-        for part in (part for batch in tables for part in shards.slices(batch)):
-            own = Shingles(shards.Texts(pa.Table.from_batches([part])), width)
-            ends = np.concatenate(([0], own.ends)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(own.values.view(np.int64)))], ["doc_id", "body"])
-
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, body array<long>").dropDuplicates(["doc_id"])
+    return by_shard.cogroup(chosen.unionByName(replies).groupBy("shard")).applyInArrow(emit, "signature long, doc_id long, body array<long>")
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, similarity: int) -> DataFrame:
@@ -247,8 +243,9 @@ def _verify(pairs: DataFrame, bodies: DataFrame, similarity: int) -> DataFrame:
                 out.append(100 * both >= similarity * (len(one) + len(other) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
-    right = pairs.join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), "b")
-    both = right.join(bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("x")), "a")
+    # pairs and sets grow with the input: neither is broadcast
+    right = pairs.hint("merge").join(bodies.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), "b")
+    both = right.hint("merge").join(bodies.select(F.col("doc_id").alias("a"), F.col("body").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long, linked boolean")
 
 
@@ -322,19 +319,20 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, sh
     if clashing.limit(1).count():
         full = full.join(clashing.select("doc_id"), "doc_id", "left_anti").unionByName(full.join(clashing, ["doc_id", "key1", "key2"], "left_semi").select(*full.columns))
         docs = _chosen(docs, clashing, width)
-    classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id"))
-    groups = shared.written(_groups(docs, classes.select(F.col("class_id").alias("doc_id")).distinct(), shard_bytes, width, similarity), "groups")
+    # tables that are joined by keys which a third of all rows may have are written first: Spark can then split such a key
+    classes = shared.written(full.groupBy("key1", "key2").agg(F.min("doc_id").alias("class_id")), "classes")
+    found = shared.written(_groups(docs, classes.select(F.col("class_id").alias("doc_id")).distinct(), shard_bytes, width, similarity), "groups")
+    groups, bodies = found.where("signature is not null").select("signature", "doc_id"), found.where("signature is null").select("doc_id", "body")
 
-    sketches = full.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sketches = shared.written(full.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("key1", "key2"), "sketches")
 
     def sketched(frame: DataFrame, c: str) -> DataFrame:
         """``frame`` with size and sketch of the document in column ``c``."""
         return frame.join(sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"{c}n"), *(F.col(f"s{i}").alias(f"{c}s{i}") for i in range(SKETCH))), c)
 
     # every group against its smallest member: the star of that member, one row however many signatures are shared
-    smallest = groups.groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
+    smallest = shared.written(groups.groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last"), "smallest")
     stars = shared.written(groups.join(smallest, "signature").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
-    bodies = shared.written(_bodies(docs, stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), width), "bodies")
     first = sketched(sketched(stars, "a"), "b").where(_may_link("a", "b", similarity)).select("a", "b")
     first = shared.written(_verify(first, bodies, similarity), "first")
     links = first.where("linked").select("a", "b")
@@ -342,16 +340,13 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, sh
 
     # members that the smallest one does not reach, against the others of their star
     label = lambda frame, c: frame.join(near.select(F.col("node").alias(c), F.col("component").alias(f"{c}_near")), c, "left").withColumn(f"{c}_near", F.coalesce(f"{c}_near", c))
-    labelled = label(label(stars, "a"), "b").select("a", "b", F.col("b_near").alias("near"), (F.col("a_near") != F.col("b_near")).alias("apart"))
-    crowds = stars.groupBy("a").agg(F.count("*").alias("members"))
-    labelled = labelled.join(labelled.where("apart").select("a").distinct(), "a", "left_semi").join(crowds, "a")
-    rest = shared.written(sketched(labelled, "b"), "rest")
-    # in a large star, a document with too few shingles that any other of the large stars has is linked with none there
-    large = rest.where(F.col("members") > SMALL_STAR)
-    own = shared.written(_own_shingles(bodies.join(large.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")), "own")
-    large = large.join(own.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("common", F.col("bn") - F.coalesce("own", F.lit(0))).drop("own").where(F.col("common") * 100 >= F.col("bn") * similarity)
-    rest = large.unionByName(rest.where(F.col("members") <= SMALL_STAR).withColumn("common", F.col("bn")))
-    rest = shared.written(rest.drop("members"), "candidates")
+    labelled = shared.written(label(label(stars, "a"), "b").select("a", "b", F.col("b_near").alias("near"), (F.col("a_near") != F.col("b_near")).alias("apart")), "labelled")
+    open_ = shared.written(labelled.where("apart").select("a").distinct(), "open")
+    together = shared.written(labelled.join(open_, "a", "left_semi"), "together")
+    # a document with too few shingles that any other of these stars' has is linked with none there
+    own = _own_shingles(bodies.join(together.select(F.col("b").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
+    rest = sketched(together, "b").join(own.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("common", F.col("bn") - F.coalesce("own", F.lit(0))).drop("own")
+    rest = shared.written(rest.where(F.col("common") * 100 >= F.col("bn") * similarity), "candidates")
     left = rest.where("apart").select(
         "a", F.col("b").alias("r"), F.col("bn").alias("rn"), *(F.col(f"bs{i}").alias(f"rs{i}") for i in range(SKETCH)), F.col("near").alias("r_near"), F.col("common").alias("r_common")
     )
@@ -365,6 +360,8 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, sh
     second = shared.written(_verify(second, bodies, similarity), "second")
     more = second.where("linked").select("a", "b")
     labels = components(links.union(more)) if more.limit(1).count() else near
+    # what follows reads none of these
+    shared.remove(found, sketches, smallest, stars, first, labelled, open_, together, rest, second)
 
     named = full.join(classes, ["key1", "key2"]).select("doc_id", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     named = named.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
