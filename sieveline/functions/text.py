@@ -75,9 +75,13 @@ def short_hash(text: Column) -> Column:
 
 
 def stable_json(entries: Column) -> Column:
-    """JSON of a flat string map, keys in order."""
-    pair = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), e["value"], F.lit('"'))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(entries)), pair), ","), F.lit("}"))
+    """JSON of a map, keys in order; nulls stay."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))), {"ignoreNullFields": "false"})
+
+
+def stable_json_text(json: Column) -> Column:
+    """A JSON text as it would be with the keys of all its objects in order and no white space (malformed: null)."""
+    return F.to_json(F.try_parse_json(json))
 
 
 def short_number(n: Column) -> Column:

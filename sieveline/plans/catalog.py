@@ -15,7 +15,7 @@ from sieveline.functions import text as tx
 from sieveline.functions import tokenizers as tok
 from sieveline.functions import vectors as vec
 from sieveline.operators import calls, chunking, context, evaluation, lexical, memory, ranking, store, usage, vectors
-from sieveline.sources.readers import front_matter
+from sieveline.sources import readers, scratch
 from sieveline.streaming import logs
 
 QUERIES: dict = {}
@@ -200,20 +200,26 @@ def knn_l2(t):
     return vectors.knn_l2(_vectors(t), _means(t), 10).select("query_id", "chunk_id", "rank", _r("score").alias("score"))
 
 
-@query("""WITH ch AS (SELECT doc_id, unicode(unnest(string_split(text, '')))::DOUBLE AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE text <> ''),
+_HASHED = """WITH ch AS (SELECT doc_id, unicode(unnest(string_split(text, '')))::DOUBLE AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE text <> ''),
 co AS (SELECT doc_id, i % 64 AS dim, c FROM ch UNION ALL SELECT doc_id, (7 * i + 13) % 64, 0.3 * c FROM ch),
 su AS (SELECT doc_id, dim, sum(c) AS v FROM co GROUP BY ALL), no AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM su GROUP BY doc_id)
-SELECT doc_id, dim::BIGINT AS dim, round(v / n, 6) AS value FROM su JOIN no USING (doc_id) WHERE round(v / n, 6) <> 0""")
-def hash_embed(t):
-    out = vectors.hash_embed(t("documents").select(F.col("doc_id").alias("id"), "text"), 64)
+SELECT doc_id, dim::BIGINT AS dim, round(v / n, 6) AS value FROM su JOIN no USING (doc_id) WHERE round(v / n, 6) <> 0"""
+
+
+def _embedded(t, embed):
+    out = embed(t("documents").select(F.col("doc_id").alias("id"), "text"), dims=64)
     return out.select(F.col("id").alias("doc_id"), F.posexplode("vector").alias("dim", "value")).select("doc_id", F.col("dim").cast("long").alias("dim"), _r("value").alias("value")).where("value <> 0")
 
 
-@query()
+@query(_HASHED)
+def hash_embed(t):
+    return _embedded(t, vectors.hash_embed)
+
+
+@query(_HASHED)
 def embed_cached(t):
     """Vectors of all documents, each distinct text embedded once."""
-    out = vectors.embed_cached(t("documents").select(F.col("doc_id").alias("id"), "text"), dims=64)
-    return out.select(F.col("id").alias("doc_id"), F.size("vector").alias("dims"))
+    return _embedded(t, vectors.embed_cached)
 
 
 @query("SELECT event_id, round(CASE WHEN value - 50 < 0 THEN (50 - value) / (1 + 50 - value) ELSE 1 / (1 + value - 50) END, 6) AS score FROM events")
@@ -224,11 +230,12 @@ def fts_score(t):
 # ---- ranking
 
 _LISTS = f"{_COS}, {_L2}, v AS ({_top(20, 'vs')}), k AS ({_top(20, 'ls')})"
-_WEIGHTED = f"""{_LISTS}, vp AS (SELECT *, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS part FROM v WINDOW w AS (PARTITION BY query_id)),
+_FUSE_WEIGHTED = """vp AS (SELECT *, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS part FROM v WINDOW w AS (PARTITION BY query_id)),
 fu AS (SELECT query_id, chunk_id, sum(v) AS vs, sum(w) AS ks, min(p) AS position, 0.7 * sum(v) + (1 - 0.7) * sum(w) AS score FROM (SELECT query_id, chunk_id, part AS v, 0.0 AS w, rank AS p FROM vp UNION ALL SELECT query_id, chunk_id, 0.0, 1 / (1 + exp(-score)), rank + 1000000000 FROM k) GROUP BY query_id, chunk_id),
 ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, position, chunk_id) AS rank FROM fu)"""
-_RRF = f"""{_LISTS}, fu AS (SELECT query_id, chunk_id, sum(v) AS vs, sum(w) AS ks, min(p) AS position, sum(v) + sum(w) AS score FROM (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS v, 0.0 AS w, rank AS p FROM v UNION ALL SELECT query_id, chunk_id, 0.0, 1.0 / (60 + rank), rank + 1000000000 FROM k) GROUP BY query_id, chunk_id),
+_FUSE_RRF = """fu AS (SELECT query_id, chunk_id, sum(v) AS vs, sum(w) AS ks, min(p) AS position, sum(v) + sum(w) AS score FROM (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS v, 0.0 AS w, rank AS p FROM v UNION ALL SELECT query_id, chunk_id, 0.0, 1.0 / (60 + rank), rank + 1000000000 FROM k) GROUP BY query_id, chunk_id),
 ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, position, chunk_id) AS rank FROM fu)"""
+_WEIGHTED, _RRF = f"{_LISTS}, {_FUSE_WEIGHTED}", f"{_LISTS}, {_FUSE_RRF}"
 _FUSED = "SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score, round(vs, 6) AS vector_score, round(ks, 6) AS keyword_score FROM ra"
 
 
@@ -282,22 +289,54 @@ def jaccard_pairs(t):
     return both.select("a", "b", _r(F.col("i") / (F.col("n") + F.col("m") - F.col("i"))).alias("jaccard"))
 
 
-@query()
+def _diverse(ranked: str, k: int = 5) -> str:
+    """SQL of ``k`` steps of selection; ``ranked`` is SQL for query_id, chunk_id, score, rank and ts (a set)."""
+    steps = [f"cd AS ({ranked})", "pj AS (SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, coalesce(len(list_intersect(a.ts, b.ts))::DOUBLE / nullif(len(list_distinct(list_concat(a.ts, b.ts))), 0), 0) AS j FROM cd a JOIN cd b ON a.query_id = b.query_id)", "c1 AS (SELECT query_id, chunk_id, score, 1 AS rank FROM cd WHERE rank = 1)"]
+    for n in range(2, k + 1):
+        steps.append(f"""c{n} AS (SELECT * FROM c{n - 1} UNION ALL SELECT query_id, chunk_id, score, {n} FROM (
+ SELECT cd.query_id, cd.chunk_id, cd.score, cd.rank AS old, round(0.7::DOUBLE * cd.score - 0.3::DOUBLE * max(j), 9) AS worth FROM cd JOIN c{n - 1} h ON h.query_id = cd.query_id JOIN pj ON pj.query_id = cd.query_id AND pj.a = cd.chunk_id AND pj.b = h.chunk_id
+ WHERE (cd.query_id, cd.chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM c{n - 1}) GROUP BY cd.query_id, cd.chunk_id, cd.score, cd.rank) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, old) = 1)""")
+    return ", ".join(steps) + f" SELECT query_id, chunk_id, rank::INT AS rank, round(score, 6) AS score FROM c{k}"
+
+
+_KEYWORD = f"{_bm25(_DOCS, t1, 1.2, 0.75)}, allq AS (SELECT item_id AS query_id, d.chunk_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN ({_DOCS}) d LEFT JOIN scored ON scored.query_id = item_id AND scored.chunk_id = d.chunk_id), kw AS ({_top(20, 'allq').replace('SELECT *', 'SELECT query_id, chunk_id, score')})"
+#: CTEs v and k (the lists of a hybrid search) over all documents and benchmark items.
+_SEARCHED = f"""{_KEYWORD}, tx AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+lt AS (SELECT kind, id, unicode(unnest(string_split(text, '')))::DOUBLE AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM tx WHERE text <> ''),
+su AS (SELECT kind, id, dim, sum(c) AS x FROM (SELECT kind, id, i % 1024 AS dim, c FROM lt UNION ALL SELECT kind, id, (7 * i + 13) % 1024, 0.3 * c FROM lt) GROUP BY ALL),
+ve AS (SELECT tx.kind, tx.id, list(coalesce(x, 0) ORDER BY r.dim) AS e FROM tx CROSS JOIN (SELECT unnest(range(1024)) AS dim) r LEFT JOIN su ON su.kind = tx.kind AND su.id = tx.id AND su.dim = r.dim GROUP BY tx.kind, tx.id),
+un AS (SELECT *, CASE WHEN list_inner_product(e, e) = 0 THEN 1 ELSE sqrt(list_inner_product(e, e)) END AS n FROM ve),
+hs AS (SELECT q.id AS query_id, d.id AS chunk_id, list_inner_product(q.e, d.e) / (q.n * d.n) AS score FROM un q JOIN un d ON q.kind = 'q' AND d.kind = 'd'),
+v AS ({_top(20, 'hs')}), k AS (SELECT * FROM kw)"""
+
+
+def _found(rows):
+    return rows.select("query_id", "chunk_id", "rank", _r("score").alias("score"))
+
+
+@query(f"WITH {_KEYWORD}, {_diverse(f'SELECT query_id, chunk_id, score, rank, list_distinct({t1("text")}) AS ts FROM kw JOIN documents ON doc_id = chunk_id')}")
 def mmr_select(t):
     """Five diverse documents of each item, from its twenty best."""
     ranked = lexical.bm25_top_k(_chunks(t), _asked(t), 20).join(_chunks(t), "chunk_id").withColumn("tokens", F.array_distinct(tok.retrieval_tokens(F.col("text"))))
-    return ranking.mmr(ranked, 5)
+    return _found(ranking.mmr(ranked, 5))
 
 
-@query()
+@query(f"WITH {_SEARCHED}, {_FUSE_WEIGHTED}, {_diverse(f'SELECT query_id, chunk_id, score, rank, list_distinct({t1("text")}) AS ts FROM ra JOIN documents ON doc_id = chunk_id')}")
 def hybrid_search(t):
     """The flagship: five documents of each benchmark item, both lists fused and made diverse."""
-    return ranking.hybrid_search(_chunks(t), _asked(t).drop("answer"))
+    return _found(ranking.hybrid_search(_chunks(t), _asked(t).drop("answer")))
 
 
-@query()
+_SHARE = "CASE WHEN rank <= 3 THEN 0.75 WHEN rank <= 10 THEN 0.6 ELSE 0.4 END::DOUBLE"
+
+
+@query(f"""WITH {_SEARCHED}, {_FUSE_RRF}, pr AS (SELECT ra.*, rank > 20 AS tail, {t4("b.text")} AS qs, {t4("d.text")} AS ds, d.text FROM ra JOIN documents d ON doc_id = chunk_id JOIN benchmark b ON item_id = query_id),
+bl AS (SELECT *, CASE WHEN len(qs) = 0 THEN 0 ELSE len(list_intersect(qs, ds))::DOUBLE / len(qs) END AS p, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS s FROM pr WINDOW w AS (PARTITION BY query_id, tail)),
+nw AS (SELECT query_id, chunk_id, text, rank AS old, tail, CASE WHEN tail THEN score ELSE {_SHARE} * s + (1 - {_SHARE}) * p END AS score FROM bl),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tail, CASE WHEN tail THEN old ELSE 0 END, round(score, 9) DESC, old) AS rank FROM nw),
+{_diverse(f'SELECT query_id, chunk_id, score, rank, list_distinct({t1("text")}) AS ts FROM rr')}""")
 def hybrid_search_rrf_rerank(t):
-    return ranking.hybrid_search(_chunks(t), _asked(t).drop("answer"), fusion="rrf", reranking="blend")
+    return _found(ranking.hybrid_search(_chunks(t), _asked(t).drop("answer"), fusion="rrf", reranking="blend"))
 
 
 # ---- chunking
@@ -330,19 +369,60 @@ def chunk_overlap(t):
     return _chunk_rows(chunking.fixed_overlap(_sourced(t)))
 
 
-@query()
+# Parts of 300 characters without white space, each with a mark of its own, cut from a document.
+def _part_sql(n: int, size: int = 300) -> str:
+    return f"rpad('[{n}]' || substr(regexp_replace(text, '[^A-Za-z]+', '_', 'g'), {300 * n + 1}, {size - 3}), {size}, 'x')"
+
+
+def _part(n: int, size: int = 300):
+    flat = F.regexp_replace("text", "[^A-Za-z]+", "_")
+    return F.rpad(F.concat(F.lit(f"[{n}]"), F.substring(flat, 300 * n + 1, size - 3)), size, "x")
+
+
+def _expected(parts: str, whole: str, pieces: list[tuple[str, str, str]]) -> str:
+    """SQL of the chunks of ``whole``: (prefix, body, what stands at its start) over the columns of ``parts``."""
+    rows = ", ".join(f"{{'index': {i}, 'body': {prefix} || {body}, 'start': strpos(w, {at}) - 1, 'size': length({body})}}" for i, (prefix, body, at) in enumerate(pieces))
+    return f"""SELECT doc_id::VARCHAR || '#' || x.index AS id, md5(x.body) AS text_md5, ceil(length(x.body) / 1.6::DOUBLE)::INT AS token_estimate, x.start::INT AS start_offset, least(x.start + x.size, length(w))::INT AS end_offset
+FROM (SELECT doc_id, w, unnest([{rows}]) AS x FROM (SELECT *, {whole} AS w FROM ({parts})))"""
+
+
+_PARTS = f"SELECT doc_id, lang, chr(10) AS n, {', '.join(f'{_part_sql(i)} AS p{i}' for i in range(7))}, {_part_sql(7, 90)} AS code, '数据' || lang || '检索引擎。' AS cjk FROM documents"
+
+
+def _made(t, *pieces):
+    """(source, text): the pieces, strings or columns, end to end."""
+    return t("documents").select(F.col("doc_id").cast("string").alias("source"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in pieces)).alias("text"))
+
+
+@query(_expected(_PARTS, "p0 || n || n || p1 || n || n || n || p2 || n || n || p3 || '。' || p4 || '. ' || p5 || '!' || n || n || 'end' || n", [("''", "p0 || n || n || p1", "p0"), ("''", "p2", "p2"), ("''", "p3 || '。 ' || p4 || '.'", "p3"), ("''", "p5 || '!' || n || n || 'end'", "p5")]))
 def chunk_recursive(t):
-    return _chunk_rows(chunking.STRATEGIES["recursive-paragraph"](_sourced(t)))
+    """Paragraphs that fit together, one alone, a long one by its sentences, and what is left of it with the next."""
+    made = _made(t, _part(0), "\n\n", _part(1), "\n\n\n", _part(2), "\n\n", _part(3), "。", _part(4), ". ", _part(5), "!\n\nend\n")
+    return _chunk_rows(chunking.STRATEGIES["recursive-paragraph"](made))
 
 
-@query()
+_MARKDOWN = "p0 || n || '#  One ' || n || n || p1 || n || n || p2 || n || n || p3 || n || '## Sub ' || lang || n || '  ```py' || n || '# no heading' || n || n || code || n || '```' || n || cjk || n || '# Two' || n || n || '### Deep' || n || p4 || n || '#none' || n || '# Three' || n || '```' || n || p5"
+_BLOCK = "'```py' || n || '# no heading' || n || n || code || n || '```'"
+
+
+def _markdown(t):
+    return _made(t, _part(0), "\n#  One \n\n", _part(1), "\n\n", _part(2), "\n\n", _part(3), "\n## Sub ", F.col("lang"), "\n  ```py\n# no heading\n\n", _part(7, 90), "\n```\n数据", F.col("lang"), "检索引擎。\n# Two\n\n### Deep\n", _part(4), "\n#none\n# Three\n```\n", _part(5))
+
+
+_HEAD = [("''", "p0", "p0"), ("'One' || n || n", "p1 || n || n || p2", "p1"), ("'One' || n || n", "p3", "p3")]
+_SUB, _DEEP, _THREE = "'One > Sub ' || lang || n || n", ("'Two > Deep' || n || n", "p4 || n || '#none'", "p4"), ("'Three' || n || n", "'```' || n || p5", "'```' || n || p5")
+
+
+@query(_expected(_PARTS, _MARKDOWN, [*_HEAD, (_SUB, f"{_BLOCK} || n || cjk", "'```py'"), _DEEP, _THREE]))
 def chunk_markdown_section(t):
-    return _chunk_rows(chunking.STRATEGIES["markdown-section"](_sourced(t)))
+    """Headings of several depths, one within a fence, sections without a body, an open fence and CJK."""
+    return _chunk_rows(chunking.STRATEGIES["markdown-section"](_markdown(t)))
 
 
-@query()
+@query(_expected(_PARTS, _MARKDOWN, [*_HEAD, (_SUB, f"'  ' || {_BLOCK}", "'  ```py'"), (_SUB, "cjk", "cjk"), _DEEP, _THREE]))
 def chunk_markdown_code_aware(t):
-    return _chunk_rows(chunking.STRATEGIES["markdown-code-aware"](_sourced(t)))
+    """The same text; fenced blocks are chunks of their own."""
+    return _chunk_rows(chunking.STRATEGIES["markdown-code-aware"](_markdown(t)))
 
 
 # ---- evaluation
@@ -535,7 +615,15 @@ def ttl_prune(t):
     return context.ttl_prune(_messages(t), 1_200_000, ends=50).select("conv_id", "idx", "action", F.length("text").cast("long").alias("chars"))
 
 
-@query()
+_TAKEN = "role = 'tool' AND NOT regexp_matches(x2, '(?i)error|失败|不存在|denied|refused|timeout')"
+
+
+@query(f"""WITH {_MSG}, a AS (SELECT *, {_EST} AS tk, length(text) AS n FROM ms), b AS (SELECT *, floor(200 * n / greatest(tk, 1)) AS budget FROM a),
+c AS (SELECT *, CASE WHEN role = 'tool' AND tk > 200 THEN left(text, floor(budget * 6 / 10)::INT) || chr(10) || chr(10) || '[truncated: ' || tk || ' → ~200 tokens]' || chr(10) || chr(10) || right(text, floor(budget * 4 / 10)::INT) ELSE text END AS x1 FROM b),
+d AS (SELECT *, {_estimate('x1', 0.6, 0.3, 0.5)} AS size FROM c),
+e AS (SELECT *, CASE WHEN role = 'tool' AND sum(size) OVER (PARTITION BY conv_id) - coalesce(sum(CASE WHEN role = 'tool' THEN size ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 300 THEN '[compacted: search output removed to free context]' ELSE x1 END AS x2 FROM d),
+f AS (SELECT *, CASE WHEN {_TAKEN} AND 1200000 - ts >= 600000 THEN '[tool result expired: search]' WHEN {_TAKEN} AND 1200000 - ts >= 300000 AND length(x2) > 3000 THEN left(x2, 1500) || chr(10) || chr(10) || '[soft pruned: ' || (length(x2) - 3000) || ' chars removed, content older than 5min]' || chr(10) || chr(10) || right(x2, 1500) ELSE x2 END AS x3 FROM e)
+SELECT conv_id, idx, {_estimate('x3', 0.6, 0.3, 0.5)} AS tokens, md5(x3) AS text_md5 FROM f""")
 def context_defense(t):
     """Truncation, budget and age together."""
     return context.defend(_messages(t), 1_200_000, 400).select("conv_id", "idx", "tokens", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
@@ -735,7 +823,7 @@ def distinct_sources(t):
 @query("""SELECT doc_id, 'n' || doc_id AS name, source AS type, md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS body_md5 FROM documents""")
 def front_matter_parse(t):
     raw = F.concat(F.lit("---\nname: x\ntype : "), "source", F.lit(" \nname:  n"), F.col("doc_id").cast("string"), F.lit("\n---\n"), "text")
-    ok, meta, body = front_matter(raw)
+    ok, meta, body = readers.front_matter(raw)
     return t("documents").where(ok).select("doc_id", meta["name"].alias("name"), meta["type"].alias("type"), F.md5(F.encode(body, "UTF-8")).alias("body_md5"))
 
 
@@ -747,22 +835,132 @@ def retry_policy(t):
     return t("events").select("event_id", tx.is_retryable(message).alias("retryable"), tx.backoff_ms(n % 10 + 1).alias("backoff"))
 
 
-@query("""SELECT event_id, left(sha256('{"k":"' || event_type || '","u":"' || user_id || '"}'), 16) AS hash FROM events""")
+@query("""SELECT event_id, left(sha256('{"a":{"k":"' || event_type || '\\"\\n","u":' || user_id || '},"b":[true,null,"x"]}'), 16) AS hash FROM events""")
 def stable_hash(t):
-    entries = F.create_map(F.lit("u"), F.col("user_id").cast("string"), F.lit("k"), F.col("event_type"))
-    return t("events").select("event_id", tx.short_hash(tx.stable_json(entries)).alias("hash"))
+    """A nested object with characters to escape, keys in another order than the sorted one."""
+    text = F.concat(F.lit('{"b": [true, null, "x"], "a": {"u": '), F.col("user_id").cast("string"), F.lit(', "k": "'), "event_type", F.lit('\\"\\n"}}'))
+    return t("events").select("event_id", tx.short_hash(tx.stable_json_text(text)).alias("hash"))
 
 
-@query()
+@query(r"""SELECT doc_id, '{"a":' || to_json(text) || ',"b\"":"' || lang || '"}' AS body FROM documents""")
+def stable_map(t):
+    """A map with a quote in a key and whole texts as values."""
+    return t("documents").select("doc_id", tx.stable_json(F.create_map(F.lit('b"'), "lang", F.lit("a"), "text")).alias("body"))
+
+
+@query("SELECT event_type AS model, count(*)::BIGINT AS steps, sum(floor(value)::BIGINT)::BIGINT AS tokens, 0.0::DOUBLE AS cost FROM events GROUP BY event_type")
 def stream_usage(t):
-    """Totals by type of the event stream, from Structured Streaming."""
+    """Totals by type of the event stream, from Structured Streaming over all folders of the table."""
     events = t("events")
-    spark = events.sparkSession
-    path = events.inputFiles()[0].rsplit("/", 1)[0]
-    single = "events.parquet" in events.inputFiles()[0].rsplit("/", 1)[1]
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet" if single else "*.parquet").parquet(path)
-    steps = source.select(F.col("event_type").alias("model"), F.floor("value").cast("long").alias("tokens"), F.lit(0.0).alias("cost"))
-    return logs.drain(spark, logs.usage_totals(steps), f"usage_{abs(hash(path)) % 10**9}")
+    steps = None
+    for pattern, folder in sorted({("events.parquet" if f.endswith("/events.parquet") else "*.parquet", f.rsplit("/", 1)[0]) for f in events.inputFiles()}):
+        source = events.sparkSession.readStream.schema(events.schema).option("pathGlobFilter", pattern).parquet(folder)
+        own = source.select(F.col("event_type").alias("model"), F.floor("value").cast("long").alias("tokens"), F.lit(0.0).alias("cost"))
+        steps = own if steps is None else steps.unionByName(own)
+    return logs.drain(logs.usage_totals(steps))
+
+
+# ---- sources and small operators
+
+
+def _notes(t):
+    """Note and skill files made of the documents: some without front matter, a name or a known type."""
+    kind = F.element_at(F.array(*map(F.lit, (*memory.DAYS, "other"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    head = F.concat(F.lit("---\nname: \"n"), F.col("doc_id").cast("string"), F.lit("\"\ntype: "), kind, F.lit("\ndescription: about "), "lang", F.lit("\nlastWriteAt: "), (F.col("doc_id") * 7).cast("string"), F.lit("\nlastReadAt: never\n---\n\n"))
+    body = F.concat(F.lit("body of "), "source")
+    return t("documents").select("doc_id", F.concat(F.lit("skills/s"), F.col("doc_id").cast("string"), F.lit("/SKILL.md")).alias("path"), F.when(F.col("doc_id") % 7 == 0, body).otherwise(F.concat(head, body)).alias("text"))
+
+
+_KIND = "['user', 'feedback', 'project', 'reference', 'other'][doc_id % 5 + 1]"
+
+
+@query(f"""SELECT 'skills/s' || doc_id || '/SKILL.md' AS path, '"n' || doc_id || '"' AS name, 'about ' || lang AS description, {_KIND} AS type, 'body of ' || source AS content, doc_id * 7 AS last_write, NULL::BIGINT AS last_read FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 4""")
+def memory_scan(t):
+    """Entries of note files; files without front matter or of an unknown type are skipped."""
+    return readers.memories(_notes(t))
+
+
+@query("""SELECT 'skills/s' || doc_id || '/SKILL.md' AS path, CASE WHEN doc_id % 7 = 0 THEN 's' || doc_id ELSE 'n' || doc_id END AS name, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'about ' || lang END AS description, 'body of ' || source AS body FROM documents""")
+def skill_scan(t):
+    """Skill files; without front matter the folder names them."""
+    return readers.skills(_notes(t))
+
+
+@query("""SELECT conv_id::VARCHAR AS timestamp, role, text AS content FROM conversations WHERE turn % 2 = 0""")
+def session_scan(t):
+    """A session log written as JSON lines and read back; lines of another type are skipped."""
+    kind = F.when(F.col("turn") % 2 == 0, "message").otherwise("note")
+    rows = t("conversations").select(kind.alias("type"), F.col("conv_id").cast("string").alias("timestamp"), F.struct("role", F.col("text").alias("content")).alias("message"))
+    path = scratch.new_folder(rows.sparkSession, "session")
+    readers.append_json(rows, path)
+    return readers.session(rows.sparkSession, path)
+
+
+@query("""SELECT item_id::VARCHAR AS id, text AS query, 's' AS source, text AS "goldenAnswer", 'factoid' AS tag, 'synth' AS origin FROM benchmark""")
+def golden_scan(t):
+    """Golden items written as JSON lines and read back."""
+    rows = t("benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.lit("s").alias("source"), F.col("text").alias("goldenAnswer"), F.array(F.lit("factoid")).alias("tags"), F.lit("synth").alias("origin"))
+    path = scratch.new_folder(rows.sparkSession, "golden")
+    readers.append_json(rows, path)
+    return readers.golden(rows.sparkSession, path).withColumn("tag", F.col("tags")[0]).drop("tags")
+
+
+@query(f"""WITH e AS (SELECT 'doc ' || doc_id AS name, doc_id % 4 AS type, {t3("'doc ' || doc_id || ' ' || text")} AS ts FROM documents), c AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'doc ' ELSE 'item ' END || item_id AS name, item_id % 4 AS type, text FROM benchmark), d AS (SELECT name, type, {t3("name || ' ' || text")} AS ts FROM c),
+a AS (SELECT name AS candidate, type, len(ts) AS na, unnest(ts) AS token FROM d), b AS (SELECT name, type, len(ts) AS nb, unnest(ts) AS token FROM e),
+o AS (SELECT candidate FROM a JOIN b USING (type, token) WHERE name <> candidate GROUP BY candidate, name, na, nb HAVING count(*)::DOUBLE / least(na, nb) >= 0.34)
+SELECT name, CASE WHEN (name, type) IN (SELECT (name, type) FROM e) THEN 'update' WHEN name IN (SELECT candidate FROM o) THEN 'duplicate' ELSE 'create' END AS action FROM c""")
+def memory_save(t):
+    """What saving each benchmark item as a memory comes to."""
+    entries = t("documents").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"), (F.col("doc_id") % 4).alias("type"), F.col("text").alias("description"))
+    name = F.concat(F.when(F.col("item_id") % 2 == 0, "doc ").otherwise("item "), F.col("item_id").cast("string"))
+    candidate = t("benchmark").select(name.alias("name"), (F.col("item_id") % 4).alias("type"), F.col("text").alias("description"))
+    return memory.save(entries, candidate).select("name", "action")
+
+
+@query(f"SELECT conv_id, sum(3 + {_EST})::BIGINT AS tokens FROM conversations GROUP BY conv_id")
+def message_tokens(t):
+    return usage.message_tokens(_messages(t))
+
+
+@query("SELECT DISTINCT event_type || user_id AS name FROM events WHERE user_id % 3 <> 0 OR event_type = 'click'")
+def visible_tools(t):
+    tools = t("events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("name"), (F.col("user_id") % 3 == 0).alias("deferred"), "event_type").distinct()
+    return store.visible_tools(tools, tools.where("event_type = 'click'")).select("name")
+
+
+@query("SELECT event_id, lower(to_base(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END), 36)) AS hash FROM (SELECT event_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split('编' || event_type || props, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295) AS h FROM events)")
+def rolling_hash(t):
+    return t("events").select("event_id", tx.rolling_hash(F.concat(F.lit("编"), "event_type", "props")).alias("hash"))
+
+
+@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN ['a' || item_id, 'b]'] ELSE [] END AS parts FROM benchmark".replace("AS parts FROM benchmark", "AS p FROM benchmark").replace("SELECT item_id, CASE", "SELECT item_id, coalesce(array_to_string(p, '|'), '') AS parts FROM (SELECT item_id, CASE") + ")")
+def json_array(t):
+    """Replies with an array among other text, with none, and with a malformed one."""
+    n = F.col("item_id")
+    reply = F.when(n % 3 == 0, F.concat(F.lit('Here:\n["a'), n.cast("string"), F.lit('", "b]"] ok'))).when(n % 3 == 1, F.col("text")).otherwise(F.lit("[oops"))
+    return t("benchmark").select("item_id", F.array_join(tx.json_array(reply), "|").alias("parts"))
+
+
+@query("""WITH r AS (SELECT item_id, text, item_id % 4 AS k FROM benchmark), i AS (SELECT item_id AS seq, 0 AS nth, left(text, 20) AS query, text AS answer FROM r WHERE k <> 3 UNION ALL SELECT item_id, 1, 'second ' || item_id, text FROM r WHERE k = 1)
+SELECT format('syn-{:03d}', row_number() OVER (ORDER BY seq, nth)) AS id, query, 'bench' AS source, answer FROM i""")
+def synthetic_items(t):
+    """Golden items of a generator's replies: one, two of three, one of two without a query, or none."""
+    n, item = F.col("item_id"), lambda q, a: F.struct(q.alias("query"), a.alias("goldenAnswer"), F.array(F.lit("factoid")).alias("tags"))
+    first, more = item(F.left("text", F.lit(20)), F.col("text")), item(F.concat(F.lit("second "), n.cast("string")), F.col("text"))
+    reply = F.when(n % 4 == 0, F.to_json(F.array(first))).when(n % 4 == 1, F.to_json(F.array(first, more, more))).when(n % 4 == 2, F.to_json(F.array(first, item(F.lit(""), F.col("text"))))).otherwise(F.lit("no array"))
+    raw = t("benchmark").select(n.alias("seq"), F.lit("bench").alias("source"), F.concat(F.lit("Sure: "), reply).alias("reply"))
+    return evaluation.synthetic_items(raw).select("id", "query", "source", "answer")
+
+
+_CJK_TEXT = "'数据' || lang || '检索引擎 的' || doc_id || ' a1_b C9'"
+
+
+@query("SELECT doc_id, " + ", ".join(f"array_to_string({f(_CJK_TEXT) if f in (t1, t2) else f'list_sort({f(_CJK_TEXT)})'}, '|') AS {n}" for f, n in ((t1, "retrieval"), (t2, "memory"), (t3, "duplicate"), (t4, "matching"))) + " FROM documents")
+def tok_cjk(t):
+    """The four tokenizers on CJK, ASCII and digits side by side."""
+    text = F.concat(F.lit("数据"), "lang", F.lit("检索引擎 的"), F.col("doc_id").cast("string"), F.lit(" a1_b C9"))
+    found = {"retrieval": tok.retrieval_tokens(text), "memory": tok.memory_tokens(text), "duplicate": F.array_sort(tok.duplicate_tokens(text)), "matching": F.array_sort(tok.matching_tokens(text))}
+    return t("documents").select("doc_id", *(F.array_join(tokens, "|").alias(n) for n, tokens in found.items()))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.operators.calls import detect
+from sieveline.sources import scratch
 
 
 def usage_totals(steps: DataFrame) -> DataFrame:
@@ -13,11 +14,18 @@ def usage_totals(steps: DataFrame) -> DataFrame:
     return steps.groupBy("model").agg(F.count("*").alias("steps"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"))
 
 
-def drain(spark: SparkSession, frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now, and return its result table."""
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(frame: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now, and return its last result, written in the shared folder."""
+    spark = frame.sparkSession
+    path = scratch.new_folder(spark, "drained")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+
+    keep(spark.createDataFrame([], frame.schema), -1)  # a stream without rows has no batch
+    query = frame.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(frame.schema).parquet(f"{path}/rows")
 
 
 def loop_verdicts(calls: DataFrame, sink, checkpoint: str):

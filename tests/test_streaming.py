@@ -20,4 +20,4 @@ def test_usage_totals(spark, tmp_path):
     steps = spark.createDataFrame([("a", 3, 0.5), ("b", 4, 1.0), ("a", 5, 0.25)], "model string, tokens long, cost double")
     steps.repartition(2).write.parquet(str(tmp_path / "steps"))
     stream = spark.readStream.schema(steps.schema).parquet(str(tmp_path / "steps"))
-    assert sorted(map(tuple, logs.drain(spark, logs.usage_totals(stream), "totals_test").collect())) == sorted(map(tuple, logs.usage_totals(steps).collect()))
+    assert sorted(map(tuple, logs.drain(logs.usage_totals(stream)).collect())) == sorted(map(tuple, logs.usage_totals(steps).collect()))
