@@ -21,12 +21,12 @@ def bm25(chunks: DataFrame, queries: DataFrame, tokenizer=retrieval_tokens, k1:
     """(query_id, chunk_id, score) of the chunks that share a term with the query.
 
     ``chunks``: chunk_id, text; ``queries``: query_id, query.  A term's weight counts
-    as often as the query has it.  The postings are cut down to the queries' terms
+    as often as the query has it; a null text counts as empty.  The postings are cut down to the queries' terms
     before anything is shuffled; if no chunk has a token, no row is returned.
     """
     asked = queries.select("query_id", F.explode(tokenizer(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
-    tokenized = chunks.select("chunk_id", tokenizer(F.col("text")).alias("tokens"))
+    tokenized = chunks.select("chunk_id", tokenizer(F.coalesce("text", F.lit(""))).alias("tokens"))
     stats = tokenized.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     postings = (
         tokenized.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
@@ -62,7 +62,7 @@ def best(chunks: DataFrame, queries: DataFrame, k: int, tokenizer=retrieval_toke
     asked = blocked.terms_of(queries.select("query_id", tokenizer(F.col("query")).alias("tokens")))
     if asked is None:
         return top_k(bm25(chunks, queries, tokenizer, k1, b), k)
-    tokenized = chunks.select("chunk_id", tokenizer(F.col("text")).alias("tokens"))
+    tokenized = chunks.select("chunk_id", tokenizer(F.coalesce("text", F.lit(""))).alias("tokens"))
     rows = max(1, blocked.BLOCK_CELLS // max(len(asked.terms), 1))
 
     def count(batches):

@@ -44,7 +44,7 @@ def _matrix(vectors: pa.Array, dims: int) -> np.ndarray:
     lengths = np.asarray(vectors.value_lengths().fill_null(0))
     flat = np.asarray(vectors.flatten().cast(pa.float64()).fill_null(0))
     if (lengths == dims).all():
-        return flat.reshape(-1, dims)
+        return flat.reshape(len(lengths), dims)
     out = np.zeros((len(lengths), dims))
     row = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -61,9 +61,12 @@ def _asked(queries: DataFrame) -> tuple[pa.Array, np.ndarray] | None:
     return rows.column("query_id").combine_chunks(), _matrix(rows.column("vector").combine_chunks(), size.dims)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    size = np.sqrt((rows * rows).sum(1, keepdims=True))
-    return rows / np.where(size == 0, 1, size)
+def _unit(vectors: pa.Array, dims: int) -> np.ndarray:
+    """``_matrix`` of the lists divided by their norms (of their whole length), where those aren't zero."""
+    lengths = np.asarray(vectors.value_lengths().fill_null(0))
+    flat = np.asarray(vectors.flatten().cast(pa.float64()).fill_null(0))
+    size = np.sqrt(np.bincount(np.repeat(np.arange(len(lengths)), lengths), flat * flat, len(lengths)))
+    return _matrix(vectors, dims) / np.where(size == 0, 1, size)[:, None]
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -75,8 +78,8 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     if asked := _asked(queries):
         ids, matrix = asked
-        unit = _unit(matrix)
-        score = lambda batch: unit @ _unit(_matrix(batch.column("vector"), unit.shape[1])).T
+        unit = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-300)
+        score = lambda batch: unit @ _unit(batch.column("vector"), unit.shape[1]).T
         return blocked.top_k(vectors.select("chunk_id", "vector"), ids, dict(queries.dtypes)["query_id"], k, score, unit.shape[1])
     unit = vectors.select("chunk_id", l2_normalise(F.col("vector")).alias("v"))
     asked = queries.select("query_id", l2_normalise(F.col("vector")).alias("q"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import text as tx
 from sieveline.functions import tokenizers as tok
 from sieveline.functions import vectors as vec
-from sieveline.operators import calls, chunking, context, evaluation, lexical, memory, ranking, store, usage, vectors
+from sieveline.operators import blocked, calls, chunking, context, evaluation, lexical, memory, ranking, store, usage, vectors
 from sieveline.sources import readers
 
 
@@ -243,3 +243,59 @@ def test_listing(spark, tmp_path):
     (tmp_path / "l" / "y").write_text("two\nlines")
     assert {tuple(r) for r in readers.listing(spark, str(tmp_path / "l")).collect()} == {("d", "DIR"), ("y", "FILE")}
     assert readers.whole_file(spark, str(tmp_path / "l" / "y")).first().text == "two\nlines"
+
+
+def test_blocked_ranking_equals_the_plain_plan(spark, monkeypatch):
+    """Ties, zero vectors, lists of several lengths, ids that are texts, no queries: both plans give the same."""
+    import random
+
+    r = random.Random(3)
+    rows = [(f"c{i:03d}", [float(r.randrange(-2, 3)) for _ in range(r.choice([3, 4, 5]))]) for i in range(120)] + [("z", [0.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(q, [float(r.randrange(-2, 3)) for _ in range(4)]) for q in range(5)] + [(9, [0.0] * 4)], "query_id long, vector array<double>")
+    texts = spark.createDataFrame([(f"c{i:03d}", " ".join(r.choice(["aa", "bb", "cc", "dd", "ee", "数据检索"]) for _ in range(r.randrange(0, 9)))) for i in range(150)] + [("n", None)], "chunk_id string, text string").repartition(4)
+    golden = spark.createDataFrame([(1, "aa bb"), (2, "dd dd 数据检索"), (3, "zz"), (4, "")], "query_id long, query string").withColumn("answer", F.col("query"))
+    plans = {
+        "cosine": lambda q: vectors.cosine_top_k(chunks, asked.where(q), 7),
+        "knn": lambda q: vectors.knn_l2(chunks.where("size(vector) = 4"), asked.where(q), 7),
+        "bm25": lambda q: lexical.best(texts, golden.where(q), 6),
+        "keep": lambda q: lexical.bm25_top_k(texts, golden.where(q), 6),
+        "hits": lambda q: evaluation.hits(golden.where(q), texts),
+    }
+    run = lambda: {(n, q): sorted(tuple(round(v, 9) + 0.0 if isinstance(v, float) else v for v in x) for x in f(q).select(*sorted(f(q).columns)).collect()) for n, f in plans.items() for q in ("true", "false")}
+    blocked_rows = run()
+    monkeypatch.setattr(blocked, "MOST_CELLS", 0)
+    assert run() == blocked_rows and len(blocked_rows["bm25", "true"]) > 10
+
+
+def test_html_to_markdown(spark):
+    pages = {
+        "<html><head><title>T</title></head><body><h1 class='x'>A &amp; B</h1><p>one<br/>two</p></body></html>": "# A & B\n\none\ntwo",
+        "<nav>menu</nav><h3>List</h3><ul><li>a</li><li><b>b</b></li></ul><footer>f</footer>": "### List\n\n- a\n- **b**",
+        '<p>see <a class="y" href="http://e.org/?a=1&amp;b=2">the <em>site</em></a>.</p><script>var a = "<p>no</p>";</script>': "see [the _site_](http://e.org/?a=1&b=2).",
+        "<pre><code>if a &lt; b:\n    c</code></pre><!-- gone --><div>end</div>": "```\nif a < b:\n    c\n```\n\nend",
+        "<style>p {}</style>plain &quot;text&quot;&nbsp;here": 'plain "text" here',
+        "": "",
+    }
+    for html, markdown in pages.items():
+        assert one(spark, tx.html_to_markdown(F.lit(html))) == markdown, html
+
+
+def test_stable_json(spark):
+    assert one(spark, tx.stable_json(F.create_map(F.lit("b"), F.lit('x"y\\z'), F.lit("a"), F.lit(None).cast("string")))) == '{"a":null,"b":"x\\"y\\\\z"}'
+    assert one(spark, tx.stable_json_text(F.lit('{"b": {"d": 1, "c": [2, {"z": "é\\"", "y": null}]}, "a": true}'))) == '{"a":true,"b":{"c":[2,{"y":null,"z":"é\\""}],"d":1}}'
+    assert one(spark, tx.stable_json_text(F.lit("no json"))) is None
+
+
+def test_windows_of_long_texts(spark):
+    """Characters beyond the basic plane count once, and a long text is cut in time proportional to it."""
+    text = "😀" * 1000 + " " * 2000 + "b" * 500
+    docs = spark.createDataFrame([("s", text), ("n", None), ("e", "")], "source string, text string")
+    for step, overlap in ((819, 0), (768, 32)):
+        starts = [s for s in range(0, len(text), step) if s == 0 or s < len(text) - 819 + step] if overlap else list(range(0, len(text), step))
+        expected = [(s, text[s : s + 819]) for s in starts if text[s : s + 819].strip()]
+        found = chunking.fixed_size(docs, overlap=overlap).orderBy("index").collect()
+        assert [(r.start_offset, r.text) for r in found] == expected and [r["index"] for r in found] == list(range(len(expected)))
+        assert all(r.end_offset == min(r.start_offset + 819, len(text)) for r in found)
+    long = spark.createDataFrame([("l", "word " * 400_000)], "source string, text string")
+    assert chunking.fixed_size(long).count() == -(-2_000_000 // 819)
