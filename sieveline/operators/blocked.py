@@ -83,7 +83,8 @@ class Terms:
     """The terms of a set of queries: a matrix of their counts, a row per query and a column per term."""
 
     def __init__(self, queries: pa.Table):
-        """``queries``: query_id, tokens."""
+        """``queries``: query_id, tokens, and what else ``table`` shall have."""
+        self.table = queries
         tokens = queries.column("tokens").combine_chunks()
         flat = tokens.flatten()
         self.ids = queries.column("query_id").combine_chunks()
@@ -102,9 +103,9 @@ class Terms:
 
 
 def terms_of(queries: DataFrame) -> Terms | None:
-    """The terms of ``queries`` (query_id, tokens), or None if they are too many for the driver."""
+    """The terms of ``queries`` (query_id, tokens, ...), or None if they are too many for the driver."""
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("t")).first()
     if size.n * size.t > 4 * MOST_CELLS and not fits(size.n, queries.select(F.explode("tokens").alias("term")).distinct().count()):
         return None
-    found = Terms(queries.select("query_id", "tokens").toArrow())
+    found = Terms(queries.toArrow())
     return found if fits(len(found.ids), len(found.terms)) else None

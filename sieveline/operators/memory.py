@@ -5,11 +5,14 @@ Entries: name, description, type, content, and times in milliseconds.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import extract_paths
 from sieveline.functions.tokenizers import duplicate_tokens
+from sieveline.operators import blocked
 
 DUPLICATE, INDEX_SIZE, READ_LIMIT, DAY_MS = 0.34, 5, 4_000, 86_400_000
 # Types of memory and the days they keep.
@@ -20,10 +23,31 @@ DEFAULT_DAYS = 30
 def duplicates(candidates: DataFrame, entries: DataFrame, least: float = DUPLICATE, top: int = 3) -> DataFrame:
     """(candidate, name, score, rank): entries of the same type and another name with overlapping tokens.
 
-    The overlap coefficient is taken over name and description.  Tokens are joined
-    by type and token; candidates without tokens find nothing.
+    The overlap coefficient is taken over name and description; candidates without
+    tokens find nothing.  Candidates with up to ``blocked.MOST_CELLS`` (candidate,
+    token) cells and a name each are held against blocks of entries; beyond, tokens
+    are joined by type and token.
     """
     tokens = lambda frame: frame.select("name", "type", duplicate_tokens(F.concat_ws(" ", "name", "description")).alias("tokens"))
+    asked = blocked.terms_of(tokens(candidates).withColumnRenamed("name", "query_id"))
+    if asked is not None and asked.ids.null_count == 0 and len(asked.ids.unique()) == len(asked.ids):
+        kinds = asked.table.column("type").combine_chunks()
+        known = kinds.unique()
+        own = np.asarray(pc.index_in(kinds, value_set=known).fill_null(-1))
+        sizes = asked.counts.sum(1)
+
+        def score(batch):
+            found = asked.counts @ asked.matrix(batch.column("tokens")).T
+            found /= np.maximum(np.minimum.outer(sizes, np.asarray(batch.column("tokens").value_lengths())), 1)
+            kind = np.asarray(pc.index_in(batch.column("type"), value_set=known, skip_nulls=True).fill_null(-2))
+            found[(own[:, None] != kind) | (found < least)] = 0
+            same = pc.index_in(batch.column("chunk_id"), value_set=asked.ids)
+            found[np.asarray(same.drop_null()), np.flatnonzero(np.asarray(same.is_valid()))] = 0
+            return found
+
+        table = tokens(entries).withColumnRenamed("name", "chunk_id")
+        found = blocked.top_k(table, asked.ids, dict(candidates.dtypes)["name"], top, score, len(asked.terms), above=0.0)
+        return found.select(F.col("query_id").alias("candidate"), F.col("chunk_id").alias("name"), "score", "rank")
     a = tokens(candidates).select(F.col("name").alias("candidate"), "type", F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
     b = tokens(entries).select("name", "type", F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
     both = a.join(b, ["type", "token"]).where("name <> candidate").groupBy("candidate", "name", "na", "nb").agg(F.count("*").alias("shared"))

@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, order: str, name: str, parts: int | None = None) -> DataFrame:
+    """``rows`` with a column ``name``: 1, 2, ... in the order of ``order``, in ranges that are numbered in parallel.
+
+    Ties are numbered in any order, nulls first.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.where(F.col(order).isNotNull()).select(order)
+    cuts = sorted(set(some.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)] or [0.5])).first()[0] or []))  # at most ``parts`` numbers
+    placed = rows.withColumn("_range", sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n")).collect()  # a row per range
+    before, total = {}, 0
+    for r in sorted(sizes):
+        before[r["_range"]] = total
+        total += r["_n"]
+    start = F.create_map(*(F.lit(x) for kv in (before or {0: 0}).items() for x in kv))[F.col("_range")]
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return placed.withColumn(name, start + nth).drop("_range")
+
+
 def upsert_in_place(store: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` replace those with the same id and keep their ``seq``; others follow at the end.
 
@@ -13,10 +32,10 @@ def upsert_in_place(store: DataFrame, new: DataFrame) -> DataFrame:
     """
     old = store.select("id", F.col("seq").alias("old_seq"))
     last = store.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
-    fresh = new.join(old, "id", "left")
-    nth = F.row_number().over(Window.partitionBy(F.col("old_seq").isNull()).orderBy("seq"))
-    placed = fresh.crossJoin(F.broadcast(last)).withColumn("seq", F.coalesce("old_seq", F.col("last") + nth)).select(*store.columns)
-    return store.join(new.select("id"), "id", "left_anti").select(*store.columns).unionByName(placed)
+    known = new.join(old, "id").withColumn("seq", F.col("old_seq")).select(*store.columns)
+    fresh = numbered(new.join(old, "id", "left_anti"), "seq", "nth")
+    placed = fresh.crossJoin(F.broadcast(last)).withColumn("seq", F.col("last") + F.col("nth")).select(*store.columns)
+    return store.join(new.select("id"), "id", "left_anti").select(*store.columns).unionByName(known).unionByName(placed)
 
 
 def upsert_at_end(store: DataFrame, new: DataFrame, replace_source: bool = False) -> DataFrame:

@@ -255,12 +255,14 @@ def test_blocked_ranking_equals_the_plain_plan(spark, monkeypatch):
     asked = spark.createDataFrame([(q, [float(r.randrange(-2, 3)) for _ in range(4)]) for q in range(5)] + [(9, [0.0] * 4)], "query_id long, vector array<double>")
     texts = spark.createDataFrame([(f"c{i:03d}", " ".join(r.choice(["aa", "bb", "cc", "dd", "ee", "数据检索"]) for _ in range(r.randrange(0, 9)))) for i in range(150)] + [("n", None)], "chunk_id string, text string").repartition(4)
     golden = spark.createDataFrame([(1, "aa bb"), (2, "dd dd 数据检索"), (3, "zz"), (4, "")], "query_id long, query string").withColumn("answer", F.col("query"))
+    entries = texts.select(F.col("chunk_id").alias("name"), F.expr("case when chunk_id like '%7' then null when chunk_id < 'c080' then 'p' else 'q' end").alias("type"), F.col("text").alias("description"))
     plans = {
         "cosine": lambda q: vectors.cosine_top_k(chunks, asked.where(q), 7),
         "knn": lambda q: vectors.knn_l2(chunks.where("size(vector) = 4"), asked.where(q), 7),
         "bm25": lambda q: lexical.best(texts, golden.where(q), 6),
         "keep": lambda q: lexical.bm25_top_k(texts, golden.where(q), 6),
         "hits": lambda q: evaluation.hits(golden.where(q), texts),
+        "duplicates": lambda q: memory.duplicates(entries.where("name < 'c040'").where(q), entries),
     }
     run = lambda: {(n, q): sorted(tuple(round(v, 9) + 0.0 if isinstance(v, float) else v for v in x) for x in f(q).select(*sorted(f(q).columns)).collect()) for n, f in plans.items() for q in ("true", "false")}
     blocked_rows = run()
@@ -299,3 +301,12 @@ def test_windows_of_long_texts(spark):
         assert all(r.end_offset == min(r.start_offset + 819, len(text)) for r in found)
     long = spark.createDataFrame([("l", "word " * 400_000)], "source string, text string")
     assert chunking.fixed_size(long).count() == -(-2_000_000 // 819)
+
+
+def test_numbered_in_ranges(spark):
+    rows = spark.createDataFrame([(i * i % 97 if i % 9 else None, i) for i in range(300)], "k long, v long")
+    found = store.numbered(rows, "k", "nth", parts=6).collect()
+    assert sorted(r.nth for r in found) == list(range(1, 301))
+    ordered = [r.k for r in sorted(found, key=lambda r: r.nth)]
+    assert ordered == sorted(ordered, key=lambda k: (k is not None, k or 0))
+    assert store.numbered(rows.where("false"), "k", "nth").count() == 0
