@@ -68,14 +68,16 @@ def _header(record: dict) -> bytes:
     """WARC and HTTP headers of a record."""
     clean = lambda s: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", s or "")
     n = record["payload_bytes"]
+    # a page's number, and what tells its records apart where numbers repeat or are missing
+    name = lambda page, key: f"<urn:page:{'' if page is None else page}:{hashlib.sha1(key.encode()).hexdigest()[:20]}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     revisit = record["record_type"] == "revisit"
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if record['page_id'] is None else record['page_id']}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(record['page_id'], record['record'])}", f"WARC-Date: {DATE}"]
     if record["url"]:
         lines.append(f"WARC-Target-URI: {clean(record['url'])}")
     lines += [f"WARC-Payload-Digest: sha1:{record['payload_digest']}", "Content-Type: application/http; msgtype=response"]
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'' if record['refers_to'] is None else record['refers_to']}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {name(record['refers_to'], record['payload_digest'])}"]
     lines.append(f"Content-Length: {len(http) + (0 if revisit else n)}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
@@ -201,7 +203,7 @@ class Parser:
             self.head = None
 
     def _record(self) -> dict:
-        head, number = self.head, lambda s: int(m[1]) if (m := re.search(r"urn:page:(-?\d+)>", s or "")) else None
+        head, number = self.head, lambda s: int(m[1]) if (m := re.search(r"urn:page:(-?\d+):", s or "")) else None
         told = head["warc-payload-digest"].removeprefix("sha1:")
         revisit = head["warc-type"] == "revisit"
         size = int(m[1]) if revisit and (m := re.search(rb"(?i)content-length: *(\d+)", self.http_head)) else self.size
