@@ -12,6 +12,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex as re
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -364,12 +367,47 @@ def test_fingerprints(awkward, empty, documents):
     assert fingerprints.compare_edited(empty).count() == 0
 
 
-def test_next_document_across_buckets(spark, monkeypatch):
+def test_fingerprints_equal_brute_force(spark, documents, awkward):
+    """The same parts from Python sets: exact band, subsets by hash, likeness."""
+    term = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest()
+    terms_of = lambda text: {term(t) for t in re.split(r"[^\p{L}\p{N}]+", text.lower()) if t}
+
+    def mark(terms):
+        h = 42
+        for t in sorted(terms, key=lambda t: t - 2**64 if t >= 2**63 else t):
+            h = xxhash.xxh64(t.to_bytes(8, "little"), seed=h).intdigest()
+        return f"{h & 0xFFFFFFFF:x}" if terms else "-"
+
+    for docs, low, high in ((documents, 0.01, 0.2), (awkward.where("doc_id is null or doc_id <> 79"), 0.05, 0.5)):
+        rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+        df = Counter(t for _, text in rows for t in terms_of(text))
+        band = {t for t, n in df.items() if max(1, low * len(rows)) <= n <= max(1, high * len(rows))}
+        found = fingerprints.lexicon(docs, min_share=low, max_share=high)
+        assert {h % 2**64 for h in found} == band and band
+
+        def print_of(text):
+            own = terms_of(text)
+            out = [mark(own)]
+            for k, level in enumerate(fingerprints.LEVELS):
+                part = lambda t: t >> (fingerprints.LEVEL_BITS + 4 * k + 2) & (1 << level) - 1  # noqa: B023, E731
+                out += [mark({t for t in own & band if part(t) == i}) for i in range(fingerprints.PARTS)]
+            return ".".join(out)
+
+        got = Counter((r.doc_id, r.fingerprint) for r in fingerprints.fingerprints(docs, found).collect())
+        assert got == Counter((d, print_of(text)) for d, text in rows)
+    pairs = spark.createDataFrame([(["a", "-", "b", "c"], ["a", "-", "x", "-"]), (["-"], ["-"]), (["a", "b"], ["a", "b"])], "a array<string>, b array<string>")
+    assert [r.l for r in pairs.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("l")).collect()] == [1 / 3, 0, 1]
+
+
+@pytest.mark.parametrize("borders", [3, 4096])
+def test_next_document_across_buckets(spark, monkeypatch, borders):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
-    rows = [(d * d, f"t{d}") for d in range(60)]
-    found = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    monkeypatch.setattr(fingerprints, "MAX_BORDERS", borders)
+    rows = [(d * d - 500, f"t{d:03d}") for d in range(60)] + [(None, f"n{d:03d}") for d in range(20)] + [(4, "s000"), (4, "s001")]
+    found = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len({r.bucket for r in found}) > 5
-    assert {r.text: r.next_text for r in found} == {f"t{d}": f"t{(d + 1) % 60}" for d in range(60)}
+    ordered = [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert {r.text: r.next_text for r in found} == dict(zip(ordered, ordered[1:] + ordered[:1]))
 
 
 PAGES = "page_id long, url string, html string, record string"
@@ -394,6 +432,12 @@ def test_warc(spark, least):
     rows = [(1, "http://a/\r\nX: y", "<p>é</p>", "r"), (2, None, "<p>é</p>", "r"), (3, "u", "", None), (4, "u", None, None), (5, "u", "abc", None), (6, "u", "abc", None), (None, "u", "abc", None), (None, "v", "alone", None), (None, "v", "alone", None), (7, "u", "x\r\n\r\nWARC/1.1\r\n\r\n" * 60_000, None), (7, "u", "x\r\n\r\nWARC/1.1\r\n\r\n" * 60_000, None), (8, "u", "x\r\n\r\nWARC/1.1\r\n\r\n" * 60_000, None)]
     found = warc.round_trip(spark.createDataFrame(rows, PAGES).repartition(2), least).collect()
     assert Counter(map(tuple, found)) == warc_expected(rows, least)
+    # every record has an id of its own, and a revisit names its response's
+    squeezed = zstandard.ZstdDecompressor()
+    heads = [squeezed.decompress(bytes(r.body)).decode() for r in warc.records(spark.createDataFrame(rows, PAGES), least).where("chunk = 0").collect()]
+    ids = [re.search("WARC-Record-ID: (.*?)\r", h)[1] for h in heads]
+    assert len(set(ids)) == len(ids) == len(rows)
+    assert {m[1] for h in heads if (m := re.search("WARC-Refers-To: (.*?)\r", h))} <= {i for i, h in zip(ids, heads) if "WARC-Type: response" in h}
 
 
 def test_warc_file(spark, tmp_path):
