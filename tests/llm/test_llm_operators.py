@@ -612,6 +612,45 @@ def test_pipeline_repeated_and_null_ids(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (None, b), (3, c), (3, d), (4, ""), (None, ""), (5, None)])
 
 
+def test_pipeline_stages_on_awkward_tables(spark, awkward, tmp_path):
+    """Nulls, empty and long texts, repeated rows, empty tables, extra columns with clashing names: every stage has a defined result."""
+    item = passage(700, 30)
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(d, 1, 0) for d in range(1, 60, 3)] + [(None, 1, 0), (61, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clash = {c: F.lit(c) for c in ("mark", "n", "kept_text", "component_id", "kept_column_0", "column_0", "held_out", "length", "deal", "key1", "a", "b", "signature")}
+    docs = awkward.unionByName(spark.createDataFrame([(200, f"x {item} y"), (None, f"{item} z"), (None, "clean " * 3)], "doc_id long, text string"), allowMissingColumns=True).withColumns(clash)
+    for table in (docs, docs.where("false")):
+        rows = table.count()
+        quality_, near, cut, clean, pack = (f for _, f in corpus_pipeline.STAGES)
+        scored = quality_(spark, table, str(tmp_path))
+        assert scored.columns == table.columns and scored.count() <= rows
+        apart = near(spark, table, str(tmp_path))
+        assert apart.columns == table.columns
+        shorter = cut(spark, table, str(tmp_path))
+        assert shorter.columns == table.columns and shorter.count() == rows
+        fair = clean(spark, table, str(tmp_path))
+        assert fair.columns == table.columns
+        if rows:
+            kept = Counter((r.doc_id, r.text) for r in apart.collect())
+            assert max(kept.values()) == 1 and (4, awkward_rows()[0][1]) not in kept and (None, None) in kept
+            assert {(r.mark, r.kept_text, r.column_0, r.kept_column_0) for r in shorter.collect()} == {("mark", "kept_text", "column_0", "kept_column_0")}
+            assert Counter((r.doc_id, r.text) for r in fair.collect()) == Counter((r.doc_id, r.text) for r in table.collect() if item not in (r.text or ""))
+        placed = pack(spark, table, str(tmp_path))
+        assert placed.where("piece = 0").count() == rows
+
+
+@pytest.mark.parametrize("name", [*queries.QUERIES, "pipeline"])
+def test_every_consumer(spark, name):
+    """Counting, projecting and grouping a query's result work as collecting it does."""
+    frame = corpus_pipeline.run(spark, SMALL) if name == "pipeline" else queries.QUERIES[name](spark, SMALL)
+    rows = frame.collect()
+    assert rows and frame.count() == len(rows)
+    for c in frame.columns:
+        assert Counter(r[0] for r in frame.select(c).collect()) == Counter(r[c] for r in rows)
+    first, last = frame.columns[0], frame.columns[-1]
+    assert {(r[0], r[1]): r[2] for r in frame.groupBy(first, last).count().collect()} == Counter((r[first], r[last]) for r in rows)
+
+
 def test_rolling():
     r = np.random.default_rng(2)
     x = r.integers(0, 50, 300, dtype=np.uint64)
