@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm import encoding
+from sieveline.llm import encoding, shared
 
 #: Lengths that one window of the suffix sums spans.
 BLOCK = 4096
@@ -67,8 +67,12 @@ def suffix_sums(counts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Histogram and suffix sums of all documents; an empty table gives no row."""
-    return suffix_sums(histogram(docs, vocabulary))
+    """Histogram and suffix sums of all documents; an empty table gives no row.
+
+    Null and empty texts have length 0; equal rows count each; only text and doc_id
+    are read.  The histogram is written, as the sums read it more than once.
+    """
+    return suffix_sums(shared.written(histogram(docs, vocabulary), "histogram"))
 
 
 def at_limits(counts_: DataFrame, limits: list[int]) -> DataFrame:
