@@ -25,6 +25,23 @@ def numbered(rows: DataFrame, order: str, name: str, parts: int | None = None) -
     return placed.withColumn(name, start + nth).drop("_range")
 
 
+def in_order(rows: DataFrame, group: str, place: str, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: 0, 1, ... by ``group``, and by ``place`` (0, 1, ... or with gaps) within it.
+
+    Rows are numbered within groups in parallel; only the groups' sizes are summed up,
+    in ranges of groups.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    ranges = sizes.withColumn("_range", F.substring(F.col(group).cast("string"), 1, 2))
+    totals = ranges.groupBy("_range").agg(F.sum("_n").alias("_t"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as groups have beginnings
+    starts = totals.select("_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_range").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranges.join(starts, "_range").select(group, (F.col("_base") + F.coalesce(F.sum("_n").over(own), F.lit(0))).alias("_first"))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(place)) - 1
+    return rows.join(firsts, group).withColumn(name, F.col("_first") + nth).drop("_first")
+
+
 def upsert_in_place(store: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` replace those with the same id and keep their ``seq``; others follow at the end.
 
@@ -87,3 +104,32 @@ def grep(files: DataFrame, pattern: str, limit: int | None = 50) -> DataFrame:
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     found = lines.where(F.col("text").rlike(f"(?i){pattern}")).withColumn("text", F.rtrim("text"))
     return found.orderBy("path", "line").limit(limit) if limit else found
+
+
+def table_list(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, columns, rows) of each table."""
+    out = None
+    for name, frame in tables.items():
+        own = frame.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), F.lit(",".join(frame.columns)).alias("columns"), "rows")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def select_text(table: str, condition: str | None = None, limit: int = 10) -> str:
+    """The query that ``where_equal`` stands for, as text; values are quoted."""
+    where = ""
+    if condition:
+        field, value = [*condition.split("="), ""][:2]
+        where = " WHERE {} = '{}'".format(field.strip(), value.strip().replace("'", "''"))
+    return f"SELECT * FROM {table}{where} LIMIT {limit}"
+
+
+def schema_tokens(tools: DataFrame) -> DataFrame:
+    """(deferred, tokens): a quarter of the characters of the tools' schemas, rounded up for each.  ``tools``: schema, deferred."""
+    return tools.groupBy("deferred").agg(F.sum(F.ceil(F.length("schema") / 4)).cast("long").alias("tokens"))
+
+
+def full_text_hits(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best hits of each query (query_id, chunk_id, rank; lower is better) with their chunks' columns."""
+    best = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
+    return hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).join(chunks, "chunk_id")

@@ -8,13 +8,15 @@ and their label means are vectors and queries, conversations are message logs
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as tx
 from sieveline.functions import tokenizers as tok
 from sieveline.functions import vectors as vec
-from sieveline.operators import calls, chunking, context, evaluation, lexical, memory, ranking, store, usage, vectors
+from sieveline.operators import calls, chunking, context, evaluation, knowledge, lexical, memory, ranking, store, usage, vectors
 from sieveline.sources import readers, scratch
 from sieveline.streaming import logs
 
@@ -952,6 +954,36 @@ def synthetic_items(t):
     return evaluation.synthetic_items(raw).select("id", "query", "source", "answer")
 
 
+_INGESTED = f"ch AS (SELECT doc_id::VARCHAR || '#' || index AS id, doc_id::VARCHAR AS source, index, text FROM ({_windows(819, 819)}))"
+
+
+@query(f"""WITH {_INGESTED}, od AS (SELECT id, source, 'old' AS model, seq FROM (SELECT *, row_number() OVER (ORDER BY source, index) - 1 AS seq FROM ch WHERE source::BIGINT % 2 = 0)), nw AS (SELECT id, source, 'new' AS model, row_number() OVER (ORDER BY source, index) AS nth FROM ch WHERE source::BIGINT % 3 = 0)
+SELECT id, source, model, seq FROM od WHERE id NOT IN (SELECT id FROM nw) UNION ALL SELECT id, source, model, nth + (SELECT coalesce(max(seq), -1) FROM od) FROM nw""")
+def knowledge_ingest(t):
+    """A base of every second document, and then every third with another model: chunk, embed, upsert."""
+    docs, spark = _sourced(t), t("documents").sparkSession
+    none = spark.createDataFrame([], "id string, source string, text string, vector array<double>, model string, seq long")
+    base = knowledge.Base(none, model="old", dims=8).ingest(docs.where("source % 2 = 0"), "fixed-size")
+    return replace(base, model="new").ingest(docs.where("source % 3 = 0"), "fixed-size").chunks.select("id", "source", "model", "seq")
+
+
+@query("SELECT 'labels' AS name, 'doc_id,quality,toxic' AS columns, count(*)::BIGINT AS rows FROM labels UNION ALL SELECT 'benchmark', 'item_id,text', count(*) FROM benchmark")
+def table_list(t):
+    return store.table_list({n: t(n) for n in ("labels", "benchmark")})
+
+
+@query("SELECT user_id % 2 = 0 AS deferred, sum(ceil(length(props) / 4.0))::BIGINT AS tokens FROM events GROUP BY 1")
+def schema_tokens(t):
+    return store.schema_tokens(t("events").select(F.col("props").alias("schema"), (F.col("user_id") % 2 == 0).alias("deferred")))
+
+
+@query("SELECT user_id AS query_id, event_id AS chunk_id, value AS rank, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id)::INT AS place, event_type FROM events QUALIFY place <= 3")
+def full_text_hits(t):
+    """Hits with a rank, joined back to their chunks."""
+    hits = t("events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("chunk_id"), F.col("value").alias("rank"))
+    return store.full_text_hits(hits, t("events").select(F.col("event_id").alias("chunk_id"), "event_type"), 3).select("query_id", "chunk_id", "rank", "place", "event_type")
+
+
 _CJK_TEXT = "'数据' || lang || '检索引擎 的' || doc_id || ' a1_b C9'"
 
 

@@ -5,10 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline import plugins
 from sieveline.functions import text as tx
 from sieveline.functions import tokenizers as tok
 from sieveline.functions import vectors as vec
-from sieveline.operators import blocked, calls, chunking, context, evaluation, lexical, memory, ranking, store, usage, vectors
+from sieveline.operators import blocked, calls, chunking, context, evaluation, knowledge, lexical, memory, ranking, store, usage, vectors
 from sieveline.sources import readers
 
 
@@ -310,3 +311,45 @@ def test_numbered_in_ranges(spark):
     ordered = [r.k for r in sorted(found, key=lambda r: r.nth)]
     assert ordered == sorted(ordered, key=lambda k: (k is not None, k or 0))
     assert store.numbered(rows.where("false"), "k", "nth").count() == 0
+
+
+def test_knowledge_base(spark, tmp_path):
+    none = spark.createDataFrame([], "id string, source string, text string, vector array<double>, model string, seq long")
+    docs = spark.createDataFrame([("b.md", "# two\n\nblue whales swim in cold seas"), ("a.md", "# one\n\nred apples\n\n```\ncode = 1\n```")], "source string, text string")
+    base = knowledge.Base(none, dims=64).ingest(docs)
+    assert [(r.seq, r.id) for r in base.chunks.orderBy("seq").collect()] == [(0, "a.md#0"), (1, "a.md#1"), (2, "b.md#0")]
+    shorter = base.ingest(spark.createDataFrame([("a.md", "# one\n\ngreen pears")], "source string, text string"))
+    assert [(r.seq, r.id) for r in shorter.chunks.orderBy("seq").collect()] == [(1, "a.md#1"), (2, "b.md#0"), (3, "a.md#0")]
+    only = base.ingest(spark.createDataFrame([("a.md", "# one\n\ngreen pears")], "source string, text string"), replace_source=True)
+    assert [r.id for r in only.chunks.orderBy("seq").collect()] == ["b.md#0", "a.md#0"]
+    asked = spark.createDataFrame([(1, "blue whales")], "query_id long, query string")
+    assert ("b.md", "two\n\nblue whales swim in cold seas") in {(r.source, r.excerpt) for r in shorter.search(asked, 3).collect()}
+    flat = lambda query, text: F.when(text.contains("pears"), 1.0).otherwise(0.0)
+    assert shorter.search(asked, 3, reranking="pure", scorer=flat, fusion=ranking.fuse_rrf).orderBy("rank").first().source == "a.md"
+    assert sorted(r.source for r in base.sources().collect()) == ["a.md", "b.md"] and base.outdated().count() == 0
+    report = evaluation.write_report(spark.createDataFrame([("fixed-size", 0.5)], "strategy string, ndcg double"), str(tmp_path), "x", True)
+    assert report.endswith("mock-smoke.json") and spark.read.json(report).first().ndcg == 0.5
+    assert store.select_text("users", "name=O'Hara=x", 3) == "SELECT * FROM users WHERE name = 'O''Hara' LIMIT 3" and store.select_text("t") == "SELECT * FROM t LIMIT 10"
+
+
+def test_plugins(spark):
+    class Plugin:
+        name, gone = "p", False
+
+        def activate(self, api):
+            api.register_tools({"echo": lambda x: x})
+            api.register("chunker", "whole", lambda docs, **_: docs)
+
+        def destroy(self):
+            self.gone = True
+
+    manager, plugin = plugins.Manager(), Plugin()
+    manager.activate(plugin)
+    manager.activate(plugin)
+    assert manager.tools["p__echo"](3) == 3 and "p__whole" in chunking.STRATEGIES
+    manager.remove("p")
+    assert not manager.tools and "p__whole" not in chunking.STRATEGIES and plugin.gone
+    plugin.activate = lambda api: api.register("fusion", "x", 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        manager.activate(plugin)
+    assert not manager.active
