@@ -3,7 +3,8 @@
 1. Every window of ``WINDOW`` bytes has a least 16-byte gram (by hash).  Grams that
    two documents share are found first; runs of windows with such a gram are the
    segments that may recur.
-2. Segments with the same gram meet in one bucket.  Equal segments collapse to
+2. Segments with the same gram meet in one bucket; a gram that stands in very many
+   places is split by the second least gram of its windows first.  Equal segments collapse to
    one with the smallest document id, and each is trimmed to what it can share
    with another around the gram, left and right.
 3. A bucket's segments form shards; each shard's suffixes are sorted once, which
@@ -31,6 +32,8 @@ SHARD_BYTES = 4 << 20
 #: Windows of a segment, rows of a shard's transform and rows merged at once (a gram's segments stay together).
 LONGEST, TRANSFORM_ROWS, MERGE_ROWS = 64, 8_000, 60_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+#: Places from which on a gram's segments are split by their second least gram.
+HOT = 4_096
 _BLOCK = 1 << 16
 _U = np.uint64
 
@@ -59,6 +62,22 @@ def minima(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def second_minima(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each window the least gram that isn't its least one (all ones if there is none)."""
+    out = np.empty(len(first), np.uint64)
+    span = WINDOW - GRAM + 1
+    for a in range(0, len(first), _BLOCK):
+        b = min(a + _BLOCK, len(first))
+        own = grams(data[a : b + WINDOW - 1])
+        # of equal grams in a window all or none is the least: hide each gram from the windows where it is
+        low = rolling.sliding(own, span, np.minimum)
+        out[a:b] = _U(2**64 - 1)
+        for j in range(span):
+            here = own[j : j + b - a]
+            np.minimum(out[a:b], np.where(here == low, _U(2**64 - 1), here), out=out[a:b])
+    return out
+
+
 class _Shard:
     def __init__(self, table: pa.Table):
         self.texts = texts = shards.Texts(table)
@@ -71,23 +90,45 @@ class _Shard:
         valid[late] = False
         for i in np.flatnonzero(~texts.known):
             valid[texts.offsets[i] : texts.offsets[i + 1]] = False
-        starts, stops = rolling.runs(self.minima, valid)
-        # long runs (periodic text) are cut
+        # minima are small numbers; mixed, they spread over the buckets
+        self.set_runs(*rolling.runs(self.minima, valid))
+        self.values = rolling.mix(self.minima[self.starts], 9)
+
+    def set_runs(self, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Segments of these runs of windows; long runs (periodic text) are cut."""
         pieces = -(-(stops - starts) // LONGEST)
         self.starts = np.repeat(starts, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONGEST
         self.stops = np.minimum(self.starts + LONGEST, np.repeat(stops, pieces))
-        # minima are small numbers; mixed, they spread over the buckets
-        self.values = rolling.mix(self.minima[self.starts], 9)
-        self.ids = texts.ids[np.searchsorted(ends, self.starts, "right")]
+        self.ids = self.texts.ids[np.searchsorted(self.texts.offsets[1:], self.starts, "right")]
 
     def anchors(self, bits: int):
-        return shards.recurrence(bits, self.values, self.ids)
+        """Distinct grams, and for each how often the shard has it (127 at most), plus 128 if two documents have it."""
+        v, twice = shards.recurrence(bits, self.values, self.ids)
+        times = np.bincount(np.searchsorted(v, self.values >> _U(32 - bits)), minlength=len(v))
+        return v, (np.minimum(times, 127) + 128 * twice.astype(np.int64)).astype(np.uint8)
+
+    def split(self, bits: int, hot: np.ndarray) -> None:
+        """Segments of grams in ``hot`` are cut into runs of windows with one second least gram, and named by both."""
+        of = rolling.mix(self.minima, 9)
+        is_hot = np.isin(of >> _U(32 - bits), hot)
+        valid = np.zeros(len(self.minima), bool)
+        index, _ = gather(np.arange(len(valid)), self.starts, self.stops - self.starts)
+        valid[index] = True
+        name = np.where(is_hot, rolling.mix(of ^ rolling.mix(second_minima(self.texts.data, self.minima), 15), 16), of)
+        starts, stops = rolling.runs(name, valid)
+        # where a run ends with its document, the next one's first window is another segment
+        self.set_runs(starts, stops)
+        self.values, self.asked = name[self.starts], of[self.starts]
 
     def segments(self, bits: int, replies: pa.Table):
         """Distinct segments with recurring grams, sorted by gram: one place of each and its smallest document; of all places, the segment."""
         v, _ = self.anchors(bits)
-        recurring = v[shards.read_answers(replies, 1)]
-        cut = self.values >> _U(32 - bits)
+        recurs, hot = (read_flags(replies, kind, len(v)) for kind in (1, 3))
+        if hot.any():
+            self.split(bits, v[hot])
+        # a split segment's gram was asked about before it was split
+        recurring = v[recurs]
+        cut = self.asked >> _U(32 - bits) if hot.any() else self.values >> _U(32 - bits)
         at = np.minimum(np.searchsorted(recurring, cut), max(len(recurring) - 1, 0))
         self.chosen = np.flatnonzero(recurring[at] == cut) if len(recurring) else np.zeros(0, np.int64)
         starts, lengths = self.starts[self.chosen], self.stops[self.chosen] - self.starts[self.chosen] + WINDOW - 1
@@ -120,6 +161,29 @@ def content(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def recurs_or_hot(table: pa.Table, hot: int) -> pa.Table:
+    """Bucket side: do two documents have the gram (kind 1)?  Do all shards together have it ``hot`` times or more (kind 3)?"""
+    (values, told), counts = shards.unposted(table, [np.uint32, np.uint8])
+    _, inverse, shards_ = np.unique(values, return_inverse=True, return_counts=True)
+    own = np.zeros(len(shards_), bool)
+    np.logical_or.at(own, inverse, told >= 128)
+    times = np.bincount(inverse, told & 127, len(shards_))
+    out = [shards.answers(table, 1, ((shards_ > 1) | own)[inverse], counts)]
+    often = (times >= hot)[inverse]
+    if often.any():
+        out.append(shards.answers(table, 3, often, counts))
+    return pa.concat_tables(out)
+
+
+def read_flags(replies: pa.Table, kind: int, n: int) -> np.ndarray:
+    """A shard's bits of one kind; buckets that sent none have zeros."""
+    told = {b: np.unpackbits(np.frombuffer(body, np.uint8), count=m) for k, b, m, body in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "n", "body"))) if k == kind}
+    sizes = sorted((b, m) for k, b, m in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "n"))) if k == 1)
+    parts = [told.get(b, np.zeros(m, np.uint8)) for b, m in sizes]
+    out = np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+    return out if len(out) == n else np.zeros(n, bool)
+
+
 def _segment_posts(shard: int, bits: int, s: _Shard, found) -> pa.Table:
     starts, lengths, values, least, _, _ = found
     buckets = (values >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
@@ -301,13 +365,14 @@ def decide(table: pa.Table) -> pa.Table:
     return shards.answers(table, 2, bits, np.array(counts, np.int64))
 
 
-def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a 50-byte string that also starts in a document with a smaller id.
 
     One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 and kept_text (bytes: a cut may split a character).  Null and
     empty texts have no bytes.  Rows with a null doc_id are kept whole and remove
-    nothing; rows that share a doc_id do not affect each other.
+    nothing; rows that share a doc_id do not affect each other; an empty table gives
+    no row; extra columns are not read, whatever their names.
     """
     n, bits = shards.plan_shards(docs, "text", shard_bytes)
     by_shard = shards.deal(docs, n).groupBy("shard")
@@ -338,6 +403,6 @@ def dedup(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.table([table.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    first = by_shard.applyInArrow(ask, shards.POST).groupBy("bucket").applyInArrow(shards.shared_by_shards, shards.REPLY)
+    first = by_shard.applyInArrow(ask, shards.POST).groupBy("bucket").applyInArrow(lambda table: recurs_or_hot(table, hot), shards.REPLY)
     second = by_shard.cogroup(first.groupBy("shard")).applyInArrow(post, shards.POST).groupBy("bucket").applyInArrow(decide, shards.REPLY)
     return by_shard.cogroup(first.unionByName(second).groupBy("shard")).applyInArrow(remove, RESULT)

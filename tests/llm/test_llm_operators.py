@@ -118,18 +118,27 @@ def test_words_of_any_length():
     assert hashes[: len(pieces)].tolist() == hashes[len(pieces) :][::-1].tolist() and len(set(hashes.tolist())) == len(pieces)
 
 
-@pytest.mark.parametrize("shard_bytes", [1500, 1 << 22])
-def test_suffix_dedup(awkward, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "hot"), [(1500, suffix_dedup.HOT), (1500, 3), (1 << 22, 2), (1 << 22, 1)])
+def test_suffix_dedup(awkward, shard_bytes, hot):
     rows = [(r.doc_id, (r.text or "").encode()) for r in awkward.collect()]
     expected = Counter()
     for d, s, g in removed(bytes, rows, 50):
         spans = sum(x and not (i and g[i - 1]) for i, x in enumerate(g))
         expected[d, len(s), sum(g), spans, hashlib.sha256(bytes(b for b, x in zip(s, g) if not x)).hexdigest()] += 1
-    found = suffix_dedup.dedup(awkward, shard_bytes).collect()
+    found = suffix_dedup.dedup(awkward, shard_bytes, hot).collect()
     assert suffix_dedup.dedup(awkward.where("false")).count() == 0 and ngram_join.join(awkward.where("false")).count() == 0
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == expected
 
 
+def test_second_minima():
+    r = np.random.default_rng(6)
+    data = np.concatenate((r.integers(97, 100, 300), np.full(80, 97), np.tile(r.integers(97, 100, 20), 8))).astype(np.uint8)
+    own, first = suffix_dedup.grams(data), suffix_dedup.minima(data)
+    for i, second in enumerate(suffix_dedup.second_minima(data, first).tolist()):
+        window = set(own[i : i + 35].tolist())
+        assert second == min(window - {int(first[i])}, default=2**64 - 1) and first[i] == min(window)
+
+
 def test_merge_of_transforms():
     """Many shards, one of them hot: the smallest owner of each window."""
     r = random.Random(3)
