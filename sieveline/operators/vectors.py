@@ -11,27 +11,36 @@ from sieveline.functions.vectors import dot, l2_normalise
 from sieveline.operators import blocked, lexical
 
 
-def hash_embed(texts: DataFrame, dims: int = 1024) -> DataFrame:
-    """(id, vector): character i adds its code at i mod dims, and 0.3 of it at (7 i + 13) mod dims; normalised.
+def hash_vectors(texts: list, dims: int = 1024) -> np.ndarray:
+    """A row for each text: character i adds its code at i mod dims, and 0.3 of it at (7 i + 13) mod dims; normalised.
 
-    ``texts``: id, text.  Null and empty texts give a vector of zeros.
+    Null and empty texts give zeros.
     """
+    out = np.zeros((len(texts), dims))
+    for row, text in enumerate(texts):
+        codes = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(float)
+        place = np.arange(len(codes))
+        out[row] = np.bincount(place % dims, codes, dims) + np.bincount((7 * place + 13) % dims, 0.3 * codes, dims)
+    size = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(size == 0, 1, size)
+
+
+def hash_embed(texts: DataFrame, dims: int = 1024) -> DataFrame:
+    """(id, vector) by ``hash_vectors``.  ``texts``: id, text."""
 
     def embed(batches):
         for batch in batches:
-            out = np.zeros((batch.num_rows, dims))
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                codes = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(float)
-                place = np.arange(len(codes))
-                out[row] = np.bincount(place % dims, codes, dims) + np.bincount((7 * place + 13) % dims, 0.3 * codes, dims)
-            size = np.sqrt((out * out).sum(1, keepdims=True))
-            out /= np.where(size == 0, 1, size)
+            out = hash_vectors(batch.column("text").to_pylist(), dims)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dims), pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), vectors], ["id", "vector"])
 
     return texts.select("id", "text").mapInArrow(embed, f"id {dict(texts.dtypes)['id']}, vector array<double>")
 
 
+#: The same for a list of texts; ``text_top_k`` embeds within its own pass where an embedder has it.
+hash_embed.vectors = hash_vectors
+
+
 def embed_cached(texts: DataFrame, embed=hash_embed, dims: int = 1024) -> DataFrame:
     """Each distinct text is embedded once, whatever number of rows has it."""
     keyed = texts.withColumn("key", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
@@ -99,3 +108,20 @@ def knn_l2(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     pairs = vectors.crossJoin(queries.withColumnRenamed("vector", "q"))
     gap = F.zip_with("vector", "q", lambda x, y: x.cast("double") - y.cast("double"))
     return lexical.top_k(pairs.select("query_id", "chunk_id", (1 - F.sqrt(dot(gap, gap))).alias("score")), k)
+
+
+def text_top_k(chunks: DataFrame, queries: DataFrame, k: int, embed=hash_embed, dims: int = 1024) -> DataFrame:
+    """``cosine_top_k`` of texts.  ``chunks``: chunk_id, text; ``queries``: query_id, query.
+
+    An embedder with ``vectors`` runs in the pass that ranks, so no vector is moved.
+    """
+    rows = getattr(embed, "vectors", None)
+    if rows is not None and blocked.fits(queries.count(), dims):
+        asked = queries.select("query_id", "query").toArrow().combine_chunks()
+        matrix = rows(asked.column("query").to_pylist(), dims)
+        unit = matrix / np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-300)
+        score = lambda batch: unit @ rows(batch.column("text").to_pylist(), dims).T
+        return blocked.top_k(chunks.select("chunk_id", "text"), asked.column("query_id").combine_chunks(), dict(queries.dtypes)["query_id"], k, score, dims)
+    vectors = embed(chunks.select(F.col("chunk_id").alias("id"), "text"), dims).withColumnRenamed("id", "chunk_id")
+    own = embed(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text")), dims).withColumnRenamed("id", "query_id")
+    return cosine_top_k(vectors, own, k)
