@@ -166,7 +166,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprint each text and its edited form, whose second half is the next document's beginning.
 
     One row per input row; null and empty texts are empty (their fingerprint has no
-    terms).  Rows are ordered by doc_id (null first), ties by text.
+    terms).  Rows are ordered by doc_id (null first), ties by text; repeated rows follow
+    one another; an empty table gives no row; extra columns are not read, whatever
+    their names.
     """
     terms = lexicon(docs)
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
