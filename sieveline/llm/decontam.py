@@ -2,8 +2,9 @@
 
 Fixed masks pick some of the positions of a short span of words and ignore the
 rest; they are chosen so that no pattern of substitutions in up to a fifth of the
-words spoils all seeds of a passage.  Seeds of the benchmark are looked up at every position of every document; each hit is then
-verified along its diagonal, where a share of the words must agree.
+words spoils all seeds of a passage.  Seeds of the benchmark are looked up at every
+position of every document; each hit is then verified along its diagonal, where a
+share of the words must agree.
 """
 
 from __future__ import annotations
@@ -160,13 +161,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agre
     """Pairs of documents and benchmark items that share a passage, substitutions allowed.
 
     A passage is ``stretch`` words in a row of which the share ``agree`` agrees, or
-    ``RUN`` words that all agree (none is lost if ``agree`` is 0.8 or more); at a document's end or begin, the words of the
-    stretch that the document has, ``RUN`` at least.  One row per (document row,
-    item): where the item (or what the document has of it) begins in the document,
-    how many words could be compared and how many agree.  Null and empty texts and
-    items match nothing; null ids are carried as they are; repeated rows give
-    repeated pairs.  A benchmark beyond ``block_chars`` is taken in blocks, each
-    of them against all documents.
+    ``RUN`` words that all agree (none is lost if ``agree`` is 0.8 or more); at a
+    document's end or begin, the words of the stretch that the document has, ``RUN``
+    at least.  One row per (document row, item): where the item (or what the document
+    has of it) begins in the document, how many words could be compared and how many
+    agree.  Null and empty texts and items match nothing; null ids are carried as they
+    are; repeated rows give repeated pairs; an empty table on either side gives no row;
+    extra columns are not read, whatever their names.  A benchmark beyond
+    ``block_chars`` is taken in blocks, each of them against all documents.
     """
     sizes = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(1, math.ceil(sizes[0] / block_chars))

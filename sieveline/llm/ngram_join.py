@@ -307,7 +307,8 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, sh
     Words are runs without ASCII white space, A-Z in lower case.  Null, empty and
     blank texts have an empty set and are linked with nothing, not even each other.
     Rows with a null doc_id keep a null component and link nothing.  Rows that share
-    a doc_id count as one document for links, by their smallest set key.
+    a doc_id count as one document for links, by their smallest set key.  An empty
+    table gives no row; extra columns are not read, whatever their names.
     """
     sets = shared.written(describe(docs, width), "sets")
     full = sets.where("n_shingles > 0 and doc_id is not null")

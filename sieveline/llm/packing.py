@@ -174,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and
     offset; each sequence is gapless from 0.  Null and empty texts are the end id
     alone; equal rows are packed as separate documents; an empty table gives no
-    row.  Only doc_id and text are read.
+    row.  Only doc_id and text are read, whatever other columns are called.
     """
     kept = shared.written(pieces(docs, vocabulary, capacity, end_id), "pieces")
     counts = kept.groupBy("length").count().collect()  # at most ``capacity`` rows

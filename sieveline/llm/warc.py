@@ -88,7 +88,9 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, slice_bytes: int =
     Of pages with equal payloads of at least ``min_revisit`` bytes that with the
     smallest page_id (null: the largest; ties: the smallest url, then any one) is a
     response and the others revisit it; smaller payloads are all responses.  Null
-    html is an empty payload; a null url is left out.
+    html is an empty payload; a null url is left out; repeated rows are records of
+    their own; an empty table gives none; extra columns are not read, whatever their
+    names.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     known = facts(source, min_revisit).groupBy("page_id", "url", "payload_bytes", "payload_digest", "payload").agg(F.count("*").alias("times"))
