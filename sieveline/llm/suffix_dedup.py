@@ -32,8 +32,8 @@ SHARD_BYTES = 4 << 20
 #: Windows of a segment, rows of a shard's transform and rows merged at once (a gram's segments stay together).
 LONGEST, TRANSFORM_ROWS, MERGE_ROWS = 64, 8_000, 60_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
-#: Places from which on a gram's segments are split by their second least gram.
-HOT = 4_096
+#: Places from which on a gram's segments are split by their second least gram: so many take about 300 MB in one task.
+HOT = 65_536
 _BLOCK = 1 << 16
 _U = np.uint64
 
@@ -62,19 +62,14 @@ def minima(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def second_minima(data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each window the least gram that isn't its least one (all ones if there is none)."""
-    out = np.empty(len(first), np.uint64)
-    span = WINDOW - GRAM + 1
-    for a in range(0, len(first), _BLOCK):
-        b = min(a + _BLOCK, len(first))
-        own = grams(data[a : b + WINDOW - 1])
-        # of equal grams in a window all or none is the least: hide each gram from the windows where it is
-        low = rolling.sliding(own, span, np.minimum)
-        out[a:b] = _U(2**64 - 1)
-        for j in range(span):
-            here = own[j : j + b - a]
-            np.minimum(out[a:b], np.where(here == low, _U(2**64 - 1), here), out=out[a:b])
+def second_minima(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of the windows at ``starts`` the least gram that isn't their least one, ``first`` (all ones if there is none)."""
+    out = np.empty(len(starts), np.uint64)
+    own, span = grams(data), np.arange(WINDOW - GRAM + 1)
+    for a in range(0, len(starts), _BLOCK):
+        here = own[starts[a : a + _BLOCK, None] + span]
+        here[here == first[a : a + _BLOCK, None]] = _U(2**64 - 1)
+        out[a : a + _BLOCK] = here.min(1)
     return out
 
 
@@ -114,7 +109,8 @@ class _Shard:
         valid = np.zeros(len(self.minima), bool)
         index, _ = gather(np.arange(len(valid)), self.starts, self.stops - self.starts)
         valid[index] = True
-        name = np.where(is_hot, rolling.mix(of ^ rolling.mix(second_minima(self.texts.data, self.minima), 15), 16), of)
+        name, at = of.copy(), np.flatnonzero(is_hot & valid)
+        name[at] = rolling.mix(of[at] ^ rolling.mix(second_minima(self.texts.data, at, self.minima[at]), 15), 16)
         starts, stops = rolling.runs(name, valid)
         # where a run ends with its document, the next one's first window is another segment
         self.set_runs(starts, stops)

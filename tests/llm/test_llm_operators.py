@@ -134,7 +134,7 @@ def test_second_minima():
     r = np.random.default_rng(6)
     data = np.concatenate((r.integers(97, 100, 300), np.full(80, 97), np.tile(r.integers(97, 100, 20), 8))).astype(np.uint8)
     own, first = suffix_dedup.grams(data), suffix_dedup.minima(data)
-    for i, second in enumerate(suffix_dedup.second_minima(data, first).tolist()):
+    for i, second in enumerate(suffix_dedup.second_minima(data, np.arange(len(first)), first).tolist()):
         window = set(own[i : i + 35].tolist())
         assert second == min(window - {int(first[i])}, default=2**64 - 1) and first[i] == min(window)
 
