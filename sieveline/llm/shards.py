@@ -45,6 +45,11 @@ def deal(docs: DataFrame, n: int, keep: tuple[str, ...] = (), by_text: bool = Tr
     return docs.select(number.alias("shard"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A shard's rows by id and text: a shuffle brings them in another order each time, so places hold only in this one."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def slices(table: pa.Table | pa.RecordBatch, column: str = "text", size: int = 1 << 20):
     """Row ranges of ``table`` whose texts have about ``size`` bytes each."""
     lengths = pc.fill_null(pc.binary_length(table.column(column)), 0)

@@ -158,7 +158,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
         return shards.recurrence_posts(key[0].as_py(), bits, *s.anchors(bits))
 
     def locate(key, table, replies):
-        s = _Shard(table, window, phrase)
+        s = _Shard(shards.in_order(table), window, phrase)  # the last pass reads the places
         v, _ = s.anchors(bits)
         starts = s.around(s.occurrences(s.phrases(bits, v[shards.read_answers(replies, 1)])))
         (h1, h2, least), group, ids = s.windows(starts)
@@ -168,6 +168,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_byt
         return pa.concat_tables([asked, pa.table([[-1], [key[0].as_py()], [len(starts)], pa.array([own], pa.binary())], schema=asked.schema)])
 
     def remove(key, table, replies):
+        table = shards.in_order(table)
         texts = shards.Texts(table)
         _, _, counts = word_bounds(texts)
         dropped = np.zeros(int(counts.sum()), bool)

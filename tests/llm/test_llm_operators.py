@@ -95,6 +95,18 @@ def test_substring_dedup(awkward, shard_bytes):
         substring_dedup.dedup(awkward, keep=("n_words",))
 
 
+@pytest.mark.parametrize("shard_bytes", [1500, 1 << 22])
+def test_substring_dedup_of_rows_in_any_order(awkward, shard_bytes):
+    def moved(batches):  # another order at each reading, as a shuffle between executors has
+        table = pa.Table.from_batches(batches)
+        yield from table.take(np.random.default_rng().permutation(table.num_rows)).to_batches()
+
+    def digests(docs):
+        return Counter(substring_dedup.dedup(docs, shard_bytes=shard_bytes, keep=("rank",)).collect())
+
+    assert digests(awkward.coalesce(1).mapInArrow(moved, awkward.schema)) == digests(awkward)
+
+
 def test_substring_dedup_needs_its_automata(awkward, empty, monkeypatch):
     assert substring_dedup.dedup(empty).count() == 0
     docs = awkward.where("doc_id < 50").coalesce(1)
