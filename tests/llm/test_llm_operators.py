@@ -660,6 +660,22 @@ def test_pipeline_stages_on_awkward_tables(spark, awkward, tmp_path):
         assert placed.where("piece = 0").count() == rows
 
 
+def test_pipeline_cuts_rows_in_any_order(spark, awkward):
+    """Texts and extra columns stay with their row when each reading has another order."""
+
+    def moved(batches):
+        table = pa.Table.from_batches(batches)
+        yield from table.take(np.random.default_rng().permutation(table.num_rows)).to_batches()
+
+    docs = awkward.withColumn("rank", F.concat_ws("|", F.col("doc_id").cast("string"), "text")).coalesce(1)
+    rows = [(r.doc_id, r.rank, (r.text or "").encode().split(), r.text or "") for r in docs.collect()]
+    expected = Counter()
+    for (d, rank, _, text), (_, s, g) in zip(rows, removed(tuple, [(d, s) for d, _, s, _ in rows], 50)):
+        expected[d, rank, b" ".join(w for w, x in zip(s, g) if not x).decode() if any(g) else text] += 1
+    shorter = corpus_pipeline.cut_repeated_passages(spark, docs.mapInArrow(moved, docs.schema), SMALL)
+    assert Counter((r.doc_id, r.rank, r.text) for r in shorter.collect()) == expected
+
+
 @pytest.mark.parametrize("name", [*queries.QUERIES, "pipeline"])
 def test_every_consumer(spark, name):
     """Counting, projecting and grouping a query's result work as collecting it does."""
