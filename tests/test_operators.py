@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,15 @@ def test_recursive():
 MARKDOWN = "intro\n# A\none\n## B\n```py\n# not a heading\n\nx = 1\n```\nafter\n# C\n向量检索。\n```\nopen"
 
 
+def test_chunks_leave_in_small_batches():
+    text = "\n\n".join("word " * 150 for _ in range(8))
+    docs = pa.RecordBatch.from_pydict({"source": [str(i) for i in range(600)], "text": [text] * 599 + [None]})
+    found = list(chunking._pieces(iter([docs]), chunking.recursive_paragraph, 819.2, 1.6))
+    assert max(sum(map(len, b.column("text").to_pylist())) for b in found) < chunking.BATCH_CHARS + 819
+    assert len(found) >= 3 and sum(b.num_rows for b in found) == 599 * 8
+    assert [r for b in found for r in b.column("id").to_pylist()] == [f"{d}#{i}" for d in range(599) for i in range(8)]
+
+
 def test_markdown():
     section = [p for p, _, _ in chunking.markdown_section(MARKDOWN, 800)]
     assert [s.split("\n")[0] for s in section] == ["intro", "A", "A > B", "C"]
