@@ -142,6 +142,24 @@ def test_containment_edges(spark):
     assert score("向量检索", "向量检索系统") == 1
 
 
+def test_matching_set_is_that_of_the_columns(spark):
+    for text in ("NDCG 向量检索 a bm25 检 x数据y", "ÉTÉ ıI İstanbul K9 ſs ok-ok", "", None):
+        assert tok.matching_set(one(spark, F.lower(F.lit(text).cast("string")))) == set(one(spark, tok.matching_tokens(F.lit(text).cast("string"))) or [])
+
+
+def test_containment_groups_only_repeated_ids(spark):
+    """Equal to the join of tokens, ids that repeat or are missing included; without those no pair is grouped."""
+    texts = spark.createDataFrame([(1, "aa bb"), (2, "bb cc 数据检索"), (3, None), (4, "dd"), (4, "aa dd"), (None, "aa"), (None, "aa ee")], "chunk_id long, text string")
+    golden = spark.createDataFrame([(1, "aa bb"), (1, "bb dd"), (1, "bb"), (2, "数据 cc ee"), (3, ""), (4, None), (None, "dd zz")], "query_id long, answer string")
+    rows = lambda frame: sorted(map(str, frame.select("query_id", "chunk_id", "containment").collect()))
+    assert rows(evaluation.containment(golden, texts)) == rows(evaluation._joined(golden, texts))
+    assert rows(evaluation.containment(golden.where("false"), texts)) == []
+    once = evaluation.containment(golden, texts.where("chunk_id < 4"))
+    assert rows(once) == rows(evaluation._joined(golden, texts.where("chunk_id < 4")))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
 def test_budget_compaction(spark):
     rows = [(0, i, "tool" if i in (1, 3, 4) else "user", "t", s) for i, s in enumerate([10, 50, 5, 40, 60, 20])]
     frame = spark.createDataFrame(rows, "conv_id long, idx long, role string, tool string, size long")
