@@ -160,6 +160,15 @@ def test_containment_groups_only_repeated_ids(spark):
     assert "Aggregate" not in plan and "Join" not in plan
 
 
+def test_answer_split_orders_only_the_sources_of_answers(spark):
+    chunks = spark.createDataFrame([(s, i, x) for s in "abc" for i, x in enumerate(["one two ", "three four ", "five"])], "source string, index int, text string")
+    golden = spark.createDataFrame([(1, "two three", "a"), (2, "one two", "a"), (3, "two three four five", "b"), (4, "two three", "none"), (5, "two three", None)], "query_id long, answer string, source string")
+    found = evaluation.answer_split(golden, chunks)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, True), (2, False), (3, True), (4, False), (5, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")  # below the window
+
+
 def test_budget_compaction(spark):
     rows = [(0, i, "tool" if i in (1, 3, 4) else "user", "t", s) for i, s in enumerate([10, 50, 5, 40, 60, 20])]
     frame = spark.createDataFrame(rows, "conv_id long, idx long, role string, tool string, size long")
