@@ -169,6 +169,21 @@ def test_answer_split_orders_only_the_sources_of_answers(spark):
     assert plan.index("Window") < plan.index("LeftSemi")  # below the window
 
 
+def test_golden_items_are_found_once(spark):
+    """The matrix reads its items many times, but what finds them runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([("a", "red apples grow on old trees"), ("b", "blue whales swim")], "source string, text string")
+    golden = spark.createDataFrame([(1, "red apples", "red apples grow", "a"), (2, "blue", "blue whales", "b")], "query_id long, query string, answer string, source string")
+    cells = evaluation.matrix(docs, golden.mapInArrow(count, golden.schema), ("fixed-size",), ("rrf",), (None,)).collect()
+    assert [(r.n_queries, r.recall) for r in cells] == [(2, 1.0)] and seen.value == 2
+
+
 def test_budget_compaction(spark):
     rows = [(0, i, "tool" if i in (1, 3, 4) else "user", "t", s) for i, s in enumerate([10, 50, 5, 40, 60, 20])]
     frame = spark.createDataFrame(rows, "conv_id long, idx long, role string, tool string, size long")
